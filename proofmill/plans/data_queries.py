@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofmill.operators import packed, units
+from proofmill.operators import drift, packed, units
 from proofmill.runtime import table
 
 
+def _drift(f, spark, d):
+    return f(table(spark, d, "checklist_files"), table(spark, d, "checklist_raw"), table(spark, d, "checklist"))
+
+
+def p1_found(spark, d):
+    return _drift(drift.changes, spark, d).select("file_id", "field", "change_kind")
+
+
+def p1_unified(spark, d):
+    """Every row of every file under one set of columns; fields the checklist lacks in a map, as JSON here."""
+    return _drift(drift.unified, spark, d).withColumn("other_fields", F.to_json("other_fields"))
+
+
 def p2_found(spark, d):
     return packed.unpack(table(spark, d, "checklist"), table(spark, d, "check_result"))
 
@@ -27,5 +40,5 @@ def p5_item_heights(spark, d):
     return units.item_sizes(table(spark, d, "page_items")).join(F.broadcast(units.factors(spark)), "unit").select("item_id", "unit", um.cast("bigint").alias("size_um"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_values_per_cell": p2_values_per_cell, "p5_found": p5_found, "p5_item_heights": p5_item_heights}
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_values_per_cell": p2_values_per_cell, "p5_found": p5_found, "p5_item_heights": p5_item_heights}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofmill.llm import leakage, lookalikes
+from proofmill.llm import leakage, lookalikes, truncation
 from proofmill.runtime import table
 
 
@@ -29,5 +29,13 @@ def p6_passages(spark, d):
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("passage"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_passages": p6_passages}
+def p8_found(spark, d):
+    return truncation.cut_texts(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_source_shares(spark, d):
+    return truncation.cut_shares(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_passages": p6_passages, "p8_found": p8_found, "p8_source_shares": p8_source_shares}
 SQL: dict[str, str] = {}

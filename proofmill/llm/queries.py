@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofmill.llm import leakage, lookalikes, truncation
-from proofmill.runtime import table
+from proofmill.llm import language, leakage, lookalikes, truncation
+from proofmill.runtime import spread, table
 
 
 def p3_found(spark, d):
@@ -15,6 +15,27 @@ def p3_found(spark, d):
     return found.select("table_name", "row_id", "wording_id")
 
 
+#: Blanks that part words, other than the ASCII ones.
+_BLANKS = "[\\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
+
+
+def _segments(spark, d):
+    docs = spread(table(spark, d, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), "text"))
+    lines = table(spark, d, "page_items").where(F.col("level") == "line").select(F.lit("page_items").alias("table_name"), F.col("item_id").alias("row_id"), F.col("lang").alias("label"), "text")
+    lines = spread(lines.where(F.size(F.filter(F.split("text", _BLANKS), lambda w: w != "")) >= 6))
+    model = language.train(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return language.label_segments(docs.unionByName(lines), ["table_name", "row_id", "label"], "text", model)
+
+
+def p4_found(spark, d):
+    return language.mislabelled(_segments(spark, d), "label").select("table_name", "row_id", "segment_no", "lang")
+
+
+def p4_segments(spark, d):
+    """The language and confidence of every text and stretch."""
+    return _segments(spark, d).select("table_name", "row_id", "segment_no", "lang", F.round("confidence", 4).alias("confidence"), "n_words")
+
+
 def _leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -37,5 +58,5 @@ def p8_source_shares(spark, d):
     return truncation.cut_shares(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_passages": p6_passages, "p8_found": p8_found, "p8_source_shares": p8_source_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p8_found": p8_found, "p8_source_shares": p8_source_shares}
 SQL: dict[str, str] = {}

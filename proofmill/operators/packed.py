@@ -175,14 +175,14 @@ def split_cells(df: DataFrame, key: str, text: str) -> DataFrame:
         .select("cell_id", F.explode(F.array_distinct("items")).alias("item")).distinct()
         .groupBy("item").agg(F.count("*").alias("seen"))
     )
-    total = several.agg(F.count("*").alias("n")).select((F.col("n") + 1000).alias("n"))
+    total = several.count() + 1000.0
     open_cells = parsed.join(several, "cell_id", "left_semi")
     values = open_cells.select("cell_id", "dialect", F.posexplode(F.arrays_zip("items", "spelled")).alias("pos", "v")).select("cell_id", "dialect", F.col("v.items").alias("item"), F.col("v.spelled").alias("spelled"))
     known = evidence.where("seen > 1")
     # Its own cell does not count as evidence for a value.
-    bits = F.least(F.col("spelled"), F.coalesce(-F.log2((F.col("seen") - F.when(F.col("dialect") == "one", 0).otherwise(1)) / F.col("n")), F.col("spelled")))
+    bits = F.least(F.col("spelled"), F.coalesce(-F.log2((F.col("seen") - F.when(F.col("dialect") == "one", 0).otherwise(1)) / total), F.col("spelled")))
     cost = (
-        values.join(known, "item", "left").crossJoin(F.broadcast(total))  # one row
+        values.join(known, "item", "left")
         .groupBy("cell_id", "dialect").agg((F.sum(bits + F.lit(_NUMBER_BITS)) + F.when(F.col("dialect") == "one", 0.0).otherwise(_DIALECT_BITS * F.size(F.split("dialect", r"\+")))).alias("bits"), F.count("*").alias("n_values"))
     )
     best = cost.groupBy("cell_id").agg(F.min_by("dialect", F.struct(F.round("bits", 6), "n_values", "dialect")).alias("dialect"))

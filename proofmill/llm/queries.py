@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofmill.llm import language, leakage, lookalikes, truncation
+from proofmill.llm import language, leakage, lookalikes, mixing, truncation
 from proofmill.runtime import spread, table
 
 
@@ -50,6 +50,15 @@ def p6_passages(spark, d):
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("passage"))
 
 
+def p7_selected(spark, d):
+    """The chosen documents with their repeats."""
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark, d):
+    return mixing.shares(p7_selected(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark, d):
     return truncation.cut_texts(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -58,5 +67,5 @@ def p8_source_shares(spark, d):
     return truncation.cut_shares(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p8_found": p8_found, "p8_source_shares": p8_source_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_selected": p7_selected, "p7_shares": p7_shares, "p8_found": p8_found, "p8_source_shares": p8_source_shares}
 SQL: dict[str, str] = {}

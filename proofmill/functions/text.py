@@ -47,11 +47,15 @@ SIGNS = {"➕": "+", "‐": "-", "–": "-", "—": "-"}
 
 
 def strip_marks(text: Column) -> Column:
+    """Compatibility forms folded and marks removed; only texts that need a step take it."""
     source, target, longer, marks = fold_tables()
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), source, target), marks, "")
-    for c, plain in longer.items():
-        out = F.replace(out, F.lit(c), F.lit(plain))
-    return out
+    plain = F.coalesce(text, F.lit(""))
+    out = F.regexp_replace(F.translate(plain, source, target), rf"(?=\p{{M}}){marks}", "")
+    spelled = out
+    for c, long in longer.items():
+        spelled = F.replace(spelled, F.lit(c), F.lit(long))
+    out = F.when(out.rlike(f"[{''.join(longer)}]"), spelled).otherwise(out)
+    return F.when(plain.rlike(r"[^\x{0}-\x{7f}]"), out).otherwise(plain)
 
 
 def squeeze(text: Column) -> Column:

@@ -11,7 +11,7 @@ from proofmill.operators import items as it
 from proofmill.operators import matching as mt
 from proofmill.operators import pages as pg
 from proofmill.plans import oracle as q
-from proofmill.runtime import table
+from proofmill.runtime import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -39,7 +39,7 @@ def _(items):
 
 @query("norm_documents", "documents", f"SELECT doc_id, {q.normalize('text')} AS text_norm FROM documents")
 def _(docs):
-    return docs.select("doc_id", tx.normalize(F.col("text")).alias("text_norm"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", tx.normalize(F.col("text")).alias("text_norm"))
 
 
 @query("latin_fold", "page_items", f"SELECT item_id, {q.latin_fold('text')} AS folded FROM page_items")

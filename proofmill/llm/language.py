@@ -48,6 +48,11 @@ _WIDE = re.compile("[！-～]")
 _FOLD = str.maketrans({c: latin for latin, others in SAME_LOOK.items() if latin.isascii() for c in others})
 
 
+def visible(text: Column) -> Column:
+    """The text without invisible characters; the few texts that hold any are rewritten."""
+    return F.when(text.rlike(f"[{_INVISIBLE}]"), F.translate(text, _INVISIBLE, "")).otherwise(text)
+
+
 def label_code(label: Column) -> Column:
     """The language a label names, or null."""
     clean = F.regexp_replace(F.lower(F.trim(label)), "[-_].*$", "")
@@ -74,22 +79,26 @@ def _foreign(word: str) -> bool:
     return 2 * sum(c > "ʯ" and not ("Ѐ" <= c <= "ӿ" or "Ḁ" <= c <= "ỿ" or "̀" <= c <= "ͯ") for c in word) > len(word)
 
 
-def sentences(text: str) -> list[tuple[list[str], int]]:
+def sentence_words(sentence: str) -> list[str]:
+    """Words of a sentence; none for a line of codes."""
+    words = _WORD.findall(sentence)
+    return [] if len(words) <= 5 and is_mark_line(sentence) else words
+
+
+def sentences(text: str, words_of=sentence_words) -> list[tuple[list, int]]:
     """(words, kind of the boundary before: 1 after a sentence mark or separator, 2 at a bare line end) of each sentence with words."""
     if not text.isascii() and _WIDE.search(text):
         text = unicodedata.normalize("NFKC", text)
     out, at, kind = [], 0, 1
     for m in _BOUNDARY.finditer(text):
-        words = _WORD.findall(text, at, m.start())
-        if words and not (len(words) <= 5 and is_mark_line(text[at : m.start()])):
+        start, end = m.span()
+        if words := words_of(text[at:start]):
             out.append((words, kind))
             kind = 2
-        bare = m[0].isspace() and text[m.start() - 1 : m.start()] not in ".!?…"
-        if not bare:
+        if text[start - 1 : start] in ".!?…" or not text[start:end].isspace():
             kind = 1
-        at = m.end()
-    words = _WORD.findall(text, at)
-    if words and not (len(words) <= 5 and is_mark_line(text[at:])):
+        at = end
+    if words := words_of(text[at:]):
         out.append((words, kind))
     return out
 
@@ -230,10 +239,12 @@ def fit(texts: list[tuple[str, str]], epochs: int = 30):
 
 def train(docs: DataFrame, key: str, text: str, label: str):
     """The field fitted on the TRAIN_TEXTS texts of lowest key hash of each labelled language."""
-    known = docs.select(F.xxhash64(key).alias("h"), F.translate(text, _INVISIBLE, "").alias("text"), label_code(F.col(label)).alias("code")).where(F.col("code").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("code").orderBy("h"))
-    rows = known.withColumn("rank", rank).where(F.col("rank") <= TRAIN_TEXTS).select("text", "code", "h").collect()  # at most 8 x TRAIN_TEXTS
-    return fit([(r["text"], r["code"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))])
+    known = docs.where(F.col(text).isNotNull()).select(key, F.xxhash64(key).alias("h"), label_code(F.col(label)).alias("code")).where(F.col("code").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("code").orderBy("h", key))
+    picked = [r[0] for r in known.withColumn("rank", rank).where(F.col("rank") <= TRAIN_TEXTS).select(key).collect()]  # at most 8 x TRAIN_TEXTS keys
+    texts = docs.where(F.col(key).isin(picked)).select(key, visible(F.col(text)).alias("text"), label_code(F.col(label)).alias("code"))
+    first = texts.where("text is not null and code is not null").groupBy(key).agg(F.min_by("text", "text").alias("text"), F.min("code").alias("code"))  # a repeated key counts once
+    return fit([(r["text"], r["code"]) for r in sorted(first.collect(), key=lambda r: str(r[key]))])
 
 
 class Labeller:
@@ -244,6 +255,7 @@ class Labeller:
 
         self.np, self.weights, self.trans = np, weights, trans
         self.index: dict[str, int] = {}
+        self.known: dict[str, list[int]] = {}
         self.scores = np.zeros((1024, len(LANGS)))
 
     def word(self, w: str) -> int:
@@ -260,23 +272,36 @@ class Labeller:
         self.index[w] = i
         return i
 
+    def ids(self, sentence: str) -> list[int]:
+        """Score rows of a sentence's words; sentences met before are not taken apart again."""
+        row = self.known.get(sentence)
+        if row is None:
+            get, word = self.index.get, self.word
+            row = [i if (i := get(w)) is not None else word(w) for w in sentence_words(sentence)]
+            if len(sentence) < 400:
+                if len(self.known) > 50_000:
+                    self.known.clear()
+                self.known[sentence] = row
+        return row
+
     def segments(self, texts: list[str]) -> list[list[tuple[str, float, int]]]:
         """(language, confidence, words) of the segments of each text."""
         np = self.np
         if len(self.index) > 300_000:
             self.index.clear()
+            self.known.clear()
         out: list[list] = [[] for _ in texts]
         sequences: list[tuple[int, list[int], list[int], list[int]]] = []  # text, words, kinds, sentence of each word
-        n_sentences, of_text, get, word = 0, [], self.index.get, self.word
+        n_sentences, of_text = 0, []
         for which, text in enumerate(texts):
             ids: list[int] = []
             kinds: list[int] = []
             sents: list[int] = []
             foreign = total = 0
             begun = len(sequences), n_sentences
-            for words, kind in sentences(text):
-                for at in range(0, len(words), WINDOW):
-                    row = [i if (i := get(w)) is not None else word(w) for w in words[at : at + WINDOW]]
+            for whole, kind in sentences(text, self.ids):
+                for at in range(0, len(whole), WINDOW):
+                    row = whole[at : at + WINDOW] if len(whole) > WINDOW else whole
                     total += len(row)
                     if -1 in row:
                         foreign += row.count(-1)
@@ -347,7 +372,7 @@ def label_segments(texts: DataFrame, key: list[str], text: str, model) -> DataFr
                     names=[*key, "segment_no", "n_segments", "lang", "confidence", "n_words"],
                 )
 
-    rows = texts.select(*key, F.translate(F.col(text).cast("string"), _INVISIBLE, "").alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    rows = texts.select(*key, visible(F.col(text).cast("string")).alias("text")).where(F.col("text").rlike(r"\p{L}"))
     return rows.mapInArrow(run, f"{fields}, segment_no int, n_segments int, lang string, confidence double, n_words bigint")
 
 

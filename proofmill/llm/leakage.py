@@ -5,7 +5,8 @@ document is scanned once, and each window found is mapped back to its place in t
 letters and digits in lower case, so case, punctuation and white space do not matter.
 
 Sizes: the items are cut into blocks of at most BLOCK_WORDS words, and a document is scanned once per block, so what is
-sent to the executors is bounded whatever the size of the evaluation set.  Items are only collected block by block.
+sent to the executors is bounded whatever the size of the evaluation set.  The driver holds BLOCKS_IN_PLAN blocks at most;
+beyond that the rows found so far are checkpointed before the next blocks are fetched.
 
 Defined results: null and blank documents and items hold nothing; an item of fewer than n words cannot leak; repeated
 documents and items each give their own rows; a document gives one row per item however many passages it holds.
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.runtime import spread
+from proofmill.runtime import cut_lineage, spread
 
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, BLOCKS_IN_PLAN = 200_000, 16
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,8 +70,11 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     doc_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"doc {doc_kind}, item {item_kind}, n_windows bigint, start bigint, end bigint"
     item_type = pa.string() if item_kind == "string" else pa.int64()
-    out = None
+    out, in_plan = None, 0
     for block in _blocks(items, item_key, item_text):
+        if in_plan == BLOCKS_IN_PLAN:  # what these blocks found is written out, and they are let go
+            out, in_plan = cut_lineage(out), 0
+        in_plan += 1
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             automaton, numbers = _automaton(block, n)

@@ -59,9 +59,10 @@ def _pieces(text: str, delimiter: re.Pattern) -> list[str]:
             start = at = m.end()
             fresh = True
             continue
-        if _ANY.match(text, at):
-            fresh = True
-        elif not c.isspace():
+        if (other := _ANY.match(text, at)) and other.end() > at:
+            fresh, at = True, other.end()
+            continue
+        if not c.isspace():
             fresh = False
         at += 1
     out.append(text[start:])

@@ -4,7 +4,7 @@ from proofmill.operators import packed as p
 
 CASES = [
     ("a b / c d / e", ["a b", "c d", "e"]), ("a\tb", ["a", "b"]), ("a;b ；c;", ["a", "b", "c"]), ("1. a  2. b", ["a", "b"]), ("(1) a\n(2) b", ["a", "b"]), ("- a\n- b", ["a", "b"]), ("• a • b", ["a", "b"]), ("a•b", ["a", "b"]),
-    ("a<br>b<BR />c", ["a", "b", "c"]), ('"The ""Luvio"" seal","b, boxed"', ['The "Luvio" seal', "b, boxed"]), ('x\t"b; both sides"', ["x", "b; both sides"]), ("a;b\r\nc", ["a", "b", "c"]), ("a; ; b", ["a", "b"]), ("R&amp;D seal\tx", ["R&amp;D seal", "x"]),
+    ("a<br>b<BR />c", ["a", "b", "c"]), ('"The ""Luvio"" seal","b, boxed"', ['The "Luvio" seal', "b, boxed"]), ('x\t"b; both sides"', ["x", "b; both sides"]), ("a;b\r\nc", ["a", "b", "c"]), ('3+<br>"b / both sides"', ["3+", "b / both sides"]), ("a; ; b", ["a", "b"]), ("R&amp;D seal\tx", ["R&amp;D seal", "x"]),
 ]
 SINGLE = ["R&amp;D seal", "Tested to class 2/3/4 ink", "Tray, lid, base", '"Front | back side"', "Left-hand use only", '"a; see leaflet"', "", "   ", "No. 4 (blue)", "2 x AA", "a, b, c", '"quoted, alone"', "x * (2)"]
 

@@ -3,11 +3,13 @@
 A linear-chain conditional random field labels the words: affixes, character n-grams and the word itself are hashed
 features, transitions are learned apart for places inside a sentence, after a sentence mark and at a bare line end.
 Forward-backward gives every word a probability per language; a sentence takes the language of the highest mean
-log-probability, and neighbouring sentences of one language make a segment.
+log-probability (one below SURE follows the sure sentence before it, else the one behind it), and neighbouring sentences
+of one language make a segment.
 
 Training: the field is fitted in the driver on TRAIN_TEXTS labelled texts per language (those of the lowest key hash, a
-documented bound).  Labels are noisy, so sentences are first relabelled by word frequencies over the sample, and
-sequences are spliced from sentences of several texts to show switches.
+documented bound).  Labels are noisy, so sentences are first relabelled by word frequencies over the sample; of these,
+the sentences that show a word for one of its first WORD_SHOWN times are learned from, in sequences spliced from several
+texts to show switches.
 
 Sizes: the model is FEATURES x 8 floats (2 MB) whatever the data.  Texts are labelled whole; a text of more than WINDOW
 words is worked on in windows that end at sentence ends (a longer sentence is cut).
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,7 +43,7 @@ NAMES = {
     "fr": ["fra", "fre", "french", "français", "francais"], "it": ["ita", "italian", "italiano"], "nl": ["nld", "dut", "dutch", "nederlands"],
     "pl": ["pol", "polish", "polski"], "ru": ["rus", "russian", "русский"],
 }
-TRAIN_TEXTS, FEATURES, WINDOW = 120, 1 << 16, 1000
+TRAIN_TEXTS, WORD_SHOWN, FEATURES, WINDOW, SURE = 400, 20, 1 << 16, 1000, 0.85
 _INVISIBLE = "­​‌‍⁠﻿‎‏"
 _BOUNDARY = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\s*[\r\n]+\s*|\s+[|–—•/]\s+")
 _WORD = re.compile(r"(?<![\w-])[^\W\d_]+(?:['’][^\W\d_]+)*(?![\w]*\d)")
@@ -168,17 +171,20 @@ def _relabel(texts: list[tuple[list, int]], rounds: int = 3):
     return labels
 
 
-def fit(texts: list[tuple[str, str]], epochs: int = 30):
+def fit(texts: list[tuple[str, str]], epochs: int = 20):
     """(weights, transitions) of the field from (text, language) samples."""
     import numpy as np
 
     rng = np.random.default_rng(5)
     sample = [(s, LANGS.index(code)) for text, code in texts if (s := sentences(text))]
     labels = _relabel(sample)
-    sents, i = [], 0
+    # A sentence that only has words shown WORD_SHOWN times before teaches nothing new.
+    sents, i, shown = [], 0, Counter()
     for parts, _ in sample:
         for words, kind in parts:
-            sents.append((words, kind, labels[i]))
+            if any(shown[w] < WORD_SHOWN for w in words):
+                sents.append((words, kind, labels[i]))
+                shown.update(words)
             i += 1
     # Sequences of a few sentences; one in four starts again from another text, which shows a switch after a mark.
     sequences, i = [], 0
@@ -333,17 +339,32 @@ class Labeller:
         logs = np.log(np.maximum(post, 1e-12))
         total_log = np.stack([np.bincount(sents, logs[:, k], n_sentences) for k in range(len(LANGS))], axis=1)
         best = total_log.argmax(axis=1)
-        sure = np.bincount(sents, post[np.arange(len(sents)), best[sents]], n_sentences)
+        mean = np.stack([np.bincount(sents, post[:, k], n_sentences) for k in range(len(LANGS))], axis=1) / np.maximum(count, 1)[:, None]
+        sure = mean[np.arange(n_sentences), best] >= SURE
+        follow: dict[int, int] = {}  # text -> language of its nearest sure sentence so far
+        unsure = [s for s in np.flatnonzero(count > 0) if not sure[s]]
+        if unsure:
+            wanted = {of_text[s] for s in unsure}
+            for order in (range(n_sentences), range(n_sentences - 1, -1, -1)):  # from before, else from behind
+                follow.clear()
+                for s in order:
+                    if of_text[s] in wanted and count[s]:
+                        if sure[s]:
+                            follow[of_text[s]] = best[s]
+                        elif of_text[s] in follow:
+                            best[s] = follow[of_text[s]]
+                            sure[s] = True
         for s in range(n_sentences):
             n = int(count[s])
             if not n:
                 continue
             parts = out[of_text[s]]
+            p = mean[s, best[s]] * n
             if parts and parts[-1][0] == best[s]:
                 _, c, m = parts[-1]
-                parts[-1] = (best[s], c + sure[s], m + n)
+                parts[-1] = (best[s], c + p, m + n)
             else:
-                parts.append((best[s], sure[s], n))
+                parts.append((best[s], p, n))
         return [[(LANGS[k], float(c / n), n) for k, c, n in parts] for parts in out]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from proofmill.functions import text as tx
 from proofmill.operators import checklists as cl
 from proofmill.operators import items as it
+from proofmill.runtime import spread
 
 BLOCK = 2000
 #: Words that carry no search, words dropped, and short words kept.
@@ -39,9 +40,10 @@ def required(results: DataFrame, checklist: DataFrame) -> DataFrame:
 
 
 def _blocks(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts with their salt, and the number of salts of each document."""
-    texts = items.select("doc_id", "page_no", tx.normalize(F.col("text")).alias("text_norm"), F.coalesce("source", F.lit("pdf")).alias("source")).where("text_norm != ''").distinct()
-    salts = texts.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_salts"))
+    """Distinct texts with their salt, and the number of salts of each document (by its items, without reading texts)."""
+    salts = items.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_salts"))
+    rows = spread(items.select("doc_id", "page_no", "text", "source").where("text is not null"))
+    texts = rows.select("doc_id", "page_no", tx.normalize(F.col("text")).alias("text_norm"), F.coalesce("source", F.lit("pdf")).alias("source")).where("text_norm != ''").distinct()
     texts = texts.join(salts, "doc_id").withColumn("salt", F.pmod(F.xxhash64("page_no", "text_norm"), F.col("n_salts").cast("bigint")).cast("int"))
     return texts.drop("n_salts"), salts
 
@@ -66,7 +68,7 @@ def hits(need: DataFrame, items: DataFrame) -> DataFrame:
 
 def page_hits(need: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
     """Further pages whose whole text carries the variant's words in order (two words or more)."""
-    pages = it.page_texts(items).select("doc_id", "page_no", tx.normalize(F.col("page_text")).alias("page_norm"))
+    pages = it.page_texts(items.select("doc_id", "page_no", "item_no", "item_id", "text")).select("doc_id", "page_no", tx.normalize(F.col("page_text")).alias("page_norm"))
     v = need.select("doc_id", "variant_norm").distinct().withColumn("words", search_words(F.col("variant_norm"))).where("size(words) >= 2")
     v = v.withColumn("like", F.concat(F.lit("%"), F.array_join(F.transform("words", lambda w: F.replace(w, F.lit("_"), F.lit(r"\_"))), "%"), F.lit("%")))
     counts = pages.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(BLOCK // 20)).cast("int").alias("n_salts"))

@@ -145,7 +145,7 @@ def flat_paths(checklist: DataFrame) -> DataFrame:
 def parse_image_groups(cell: Column) -> Column:
     """Groups of a cell of lines "[GROUP: name][ANY|ALL]" and paths; paths before any group form one of mode any."""
     head = r"(?i)^\s*\[GROUP:\s*(.+?)\s*\]\s*\[(ANY|ALL)\]\s*$"
-    lines = F.filter(F.transform(F.split(F.replace(F.coalesce(cell, F.lit("")), F.lit("\r"), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.replace(F.coalesce(cell, F.lit("")), F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     group = "struct<name:string,mode:string,paths:array<string>>"
     start = F.lit(None).cast(f"array<{group}>")
     start = F.coalesce(start, F.array().cast(f"array<{group}>"))

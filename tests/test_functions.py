@@ -67,10 +67,10 @@ def test_search_terms(spark):
 
 
 def test_image_groups(spark):
-    cells = ["[GROUP: Old logo][ALL]\n//s/a.png\n\\\\s\\b.png\n[group: New][any]\nc.png;d.png|N/A", "a.png;b.png", "", None, "[GROUP: x][ANY]", "p.png\n[GROUP: y][ALL]\nq.png"]
+    cells = ["[GROUP: Old logo][ALL]\n//s/a.png\n\\\\s\\b.png\n[group: New][any]\nc.png;d.png|N/A", "a.png;b.png", "", None, "[GROUP: x][ANY]", "p.png\n[GROUP: y][ALL]\nq.png", "x.png\n100.png\n2 a.png"]
     got = [[tuple(g) for g in x] for x in evaluate(spark, cells, cl.parse_image_groups(F.col("t")))]
     assert got == [
-        [("Old logo", "all", ["//s/a.png", "//s/b.png"]), ("New", "any", ["c.png", "d.png"])], [("", "any", ["a.png", "b.png"])], [], [], [], [("", "any", ["p.png"]), ("y", "all", ["q.png"])],
+        [("Old logo", "all", ["//s/a.png", "//s/b.png"]), ("New", "any", ["c.png", "d.png"])], [("", "any", ["a.png", "b.png"])], [], [], [], [("", "any", ["p.png"]), ("y", "all", ["q.png"])], [("", "any", ["x.png", "100.png", "2 a.png"])],
     ]
 
 

@@ -193,7 +193,8 @@ def split_cells(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 _PAGE = r"(?:(?:pages?|pgs?|pp?|seiten?|s)\.?\s*)?(\d{1,9})(?:\s*[-‐‑‒–—−]\s*(?:p\.?\s*)?(\d{1,9}))?"
-_PAGE_CELL = re.compile(rf"(?i)\s*{_PAGE}(?:\s*(?:[,;/|+&，；\r\n\t]|\band\b|\bund\b)?[\s,;]*{_PAGE})*[\s,;/|]*$")
+_PAGE_GAP = r"(?:[\s,;/|+&，；]|\band\b|\bund\b)"
+_PAGE_CELL = re.compile(rf"(?i)\s*{_PAGE}(?:{_PAGE_GAP}+{_PAGE})*{_PAGE_GAP}*$")
 _PAGE_ONE = re.compile(rf"(?i){_PAGE}")
 
 

@@ -32,7 +32,7 @@ def test_evidence_decides(spark):
     ("cell", "pages"),
     [
         ("1, 3-5", [1, 3, 4, 5]), ('"1-2","2"', [1, 2, 2]), ("p. 2; p.3", [2, 3]), ("P1‑4", [1, 2, 3, 4]), ("2 / 1 / 2", [2, 1, 2]), ("1, 2 & 3", [1, 2, 3]), ("2 and 3", [2, 3]), ("1 3-4 5", [1, 3, 4, 5]), ("3; 1;", [3, 1]), ("1\n2", [1, 2]), ("4-2", [4, 3, 2]),
-        ("7", None), ("All Pages", None), ("-", None), ("", None), (None, None), ("Page 1", None), ("2-2", None), ("see sheet 2", None),
+        ("7", None), ("All Pages", None), ("-", None), ("", None), (None, None), ("Page 1", None), ("2-2", None), ("see sheet 2", None), ("1" * 60 + "x", None), ("12 " * 40 + "x", None), ("1 2", [1, 2]),
     ],
 )
 def test_page_cells(spark, cell, pages):
@@ -47,6 +47,11 @@ def test_pages_query(spark):
     assert got == sorted([(1, 1, "1"), (1, 2, "2"), (1, 3, "3")] * 2 + [(3, 1, "9"), (3, 2, "8")])
 
 
+def test_long_cells_take_no_time():
+    assert p.page_runs("1" * 100_000 + "x") is None and p.page_runs("1 " * 20_000 + "x") is None
+    assert p.parses(" " * 50_000 + "a;b")["semicolon"] == ["a", "b"]
+
+
 def test_empty_and_long(spark):
     empty = spark.createDataFrame([], "row_id bigint, cell string")
     assert p.split_cells(empty, "row_id", "cell").collect() == [] and p.split_pages(empty, "row_id", "cell").collect() == []

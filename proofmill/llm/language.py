@@ -45,7 +45,7 @@ NAMES = {
 }
 TRAIN_TEXTS, WORD_SHOWN, FEATURES, WINDOW, SURE = 400, 20, 1 << 16, 1000, 0.85
 _INVISIBLE = "­​‌‍⁠﻿‎‏"
-_BOUNDARY = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\s*[\r\n]+\s*|\s+[|–—•/]\s+")
+_BOUNDARY = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|[\r\n]+\s*|(?<=\s)[|–—•/](?=\s)")
 _WORD = re.compile(r"(?<![\w-])[^\W\d_]+(?:['’][^\W\d_]+)*(?![\w]*\d)")
 _WIDE = re.compile("[！-～]")
 _FOLD = str.maketrans({c: latin for latin, others in SAME_LOOK.items() if latin.isascii() for c in others})

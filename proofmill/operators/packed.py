@@ -151,7 +151,7 @@ def _spelled(value: str, quoted: bool) -> float:
 
 def split_cells(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, item: the values of every cell that holds two or more."""
-    cells = spread(df.where(F.col(text).rlike(r"\S")).groupBy(F.col(text).alias("cell")).agg(F.lit(1).alias("one")).select("cell"))
+    cells = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("cell")).distinct()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows over the cluster only where a scan has fewer splits than the cluster has slots.
 
     A large table's scan has many more splits than slots and is returned untouched, so the shuffle only happens on
-    inputs small enough (a few row groups) for it to be cheaper than idle cores.
+    inputs small enough (a few row groups) for it to be cheaper than idle cores.  Only for scans and what is mapped or
+    filtered from them: to ask a plan with a shuffle for its partitions would run it.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > slots:

@@ -68,4 +68,8 @@ def p8_source_shares(spark, d):
 
 
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_segments": p4_segments, "p6_found": p6_found, "p6_passages": p6_passages, "p7_selected": p7_selected, "p7_shares": p7_shares, "p8_found": p8_found, "p8_source_shares": p8_source_shares}
-SQL: dict[str, str] = {}
+_WINDOWS = """SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM (
+  SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL)"""
+SQL: dict[str, str] = {
+    "p6_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_WINDOWS.format(key='doc_id', table='documents')}) d JOIN ({_WINDOWS.format(key='item_id', table='eval_items')}) e USING (g)",
+}

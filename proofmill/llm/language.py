@@ -15,7 +15,7 @@ Sizes: the model is FEATURES x 8 floats (2 MB) whatever the data.  Texts are lab
 words is worked on in windows that end at sentence ends (a longer sentence is cut).
 
 Defined results: null and blank texts, texts of codes and numbers only, and texts mostly in a script none of the eight
-languages uses have no segment; invisible characters do not matter; ties between languages go to the alphabetically
+languages uses have no segment; without any labelled text every language gets the same probability; invisible characters do not matter; ties between languages go to the alphabetically
 first; repeated rows each give their own rows.
 """
 
@@ -176,7 +176,11 @@ def fit(texts: list[tuple[str, str]], epochs: int = 20):
     import numpy as np
 
     rng = np.random.default_rng(5)
+    size = len(LANGS)
+    weights, trans = np.zeros((FEATURES, size)), np.stack([np.eye(size) * 4, np.eye(size) * 1.0, np.eye(size) * 2])
     sample = [(s, LANGS.index(code)) for text, code in texts if (s := sentences(text))]
+    if not sample:  # nothing labelled: every language is as likely
+        return weights.astype(np.float32), trans
     labels = _relabel(sample)
     # A sentence that only has words shown WORD_SHOWN times before teaches nothing new.
     sents, i, shown = [], 0, Counter()
@@ -189,15 +193,15 @@ def fit(texts: list[tuple[str, str]], epochs: int = 20):
     # Sequences of a few sentences; one in four starts again from another text, which shows a switch after a mark.
     sequences, i = [], 0
     while i < len(sents):
-        size = int(rng.integers(1, 6))
-        seq = list(sents[i : i + size])
+        length = int(rng.integers(1, 6))
+        seq = list(sents[i : i + length])
         if rng.random() < 0.25:
             words, _, label = sents[int(rng.integers(len(sents)))]
             seq.append((words, 1, label))
             words, _, label = seq[0]
             seq.append((sents[i][0], 1, label))
         sequences.append(seq)
-        i += size
+        i += length
     vocabulary: dict[str, int] = {}
     packed = []
     for seq in sequences:
@@ -214,8 +218,6 @@ def fit(texts: list[tuple[str, str]], epochs: int = 20):
     feats = [_features(w) for w in vocabulary]
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     flat = np.concatenate([np.array(f) for f in feats])
-    size = len(LANGS)
-    weights, trans = np.zeros((FEATURES, size)), np.stack([np.eye(size) * 4, np.eye(size) * 1.0, np.eye(size) * 2])
     sum_w, sum_t = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
     inner = np.flatnonzero(kinds != 3)
     truth = np.zeros((len(ids), size))

@@ -77,3 +77,8 @@ def test_training_from_table(spark):
     assert weights.shape == (lg.FEATURES, 8) and trans.shape == (3, 8, 8)
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert lg.label_segments(empty.select("doc_id", "text"), ["doc_id"], "text", (weights, trans)).collect() == []
+
+
+def test_nothing_labelled():
+    (((lang, confidence, words),),) = lg.Labeller(*lg.fit([])).segments([SENTENCES["en"][0]])
+    assert lang == "de" and abs(confidence - 1 / 8) < 1e-6 and words == 10

@@ -151,7 +151,10 @@ def _spelled(value: str, quoted: bool) -> float:
 
 def split_cells(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, item: the values of every cell that holds two or more."""
-    cells = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("cell")).distinct()
+    spark = df.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Dealt anew, as parsing is dear and what is left of the rows may fit into one partition.
+    cells = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("cell")).distinct().repartition(slots)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

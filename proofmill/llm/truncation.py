@@ -6,9 +6,10 @@ the marks that systems set behind a text are taken off, a closing sentence must
 closing line (heading, list entry) must be one that stands complete inside other documents, by counts over all
 documents.
 
-Skew: exact copies are collapsed to one text before banding; inside a band bucket every text is only linked to the
-bucket's longest text (found by a pre-aggregated maximum), never to all others, so a bucket of any size costs one row per
-member.
+Skew: exact copies are collapsed to one text before banding; inside a band bucket all pairs of different texts are
+verified, except those that cannot count: both texts end in a sentence mark, or their numbers of shingles or bitmaps of
+shingles (both bound the similarity from above) rule 0.8 out.  A bucket of more than BLOCK texts is dealt into blocks and
+each pair of blocks is joined by itself, so no task holds more than two blocks.
 
 Defined results: null and blank texts are not cut; a text of codes only is complete; a text that a system closed with an
 ellipsis is cut; repeated texts each get their own row.
@@ -30,6 +31,10 @@ SHINGLE, LEAST_SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 LEAST_SUPPORT = 2
 #: Shared buckets sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Texts of a bucket that are joined with each other in one group; larger buckets are dealt into blocks.
+BLOCK = 2000
+#: 64-bit words of a text's bitmap of shingles.
+BITMAP = 4
 #: A longer line is no heading and no list entry.
 LONGEST_CLOSE = 200
 _LINES = re.compile(r"\r\n|\r|\n| ")
@@ -114,7 +119,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word_hash: dict[str, int] = {}
     prime = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        ids, copies, sizes, keys = [], [], [], []
+        rows = []
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = _words(t)
             if len(words) < SHINGLE:
@@ -127,14 +132,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(SHINGLE):
                     shingles = (shingles ^ hashes[i : len(words) - SHINGLE + 1 + i]) * prime
                     shingles ^= shingles >> np.uint64(29)
+                shingles.sort()
+                shingles = shingles[np.concatenate(([True], shingles[1:] != shingles[:-1]))]
                 low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(shingles), 4096):  # long texts in blocks
                     low = np.minimum(low, (shingles[at : at + 4096, None] * mul + add).min(axis=0))
-            copy = xxhash.xxh3_64_intdigest(t) - 2**63
-            for b in range(BANDS):
-                ids.append(k), copies.append(copy), sizes.append(len(t))
-                keys.append(xxhash.xxh3_64_intdigest(low[b * ROWS : b * ROWS + ROWS].tobytes(), seed=b) - 2**63)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(copies, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())], names=["id", "copy", "size", "bucket"])
+            # Parities of the shingles by their last bits: the bits in which two bitmaps differ are at most the shingles that only one text has.
+            odd = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+            keys = [xxhash.xxh3_64_intdigest(low[b * ROWS : b * ROWS + ROWS].tobytes(), seed=b) - 2**63 for b in range(BANDS)]
+            rows.append((k, xxhash.xxh3_64_intdigest(t) - 2**63, len(shingles), bool(open_close(t)), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), keys))
+        cols = list(zip(*rows)) or [[]] * 6
+        types = [batch.schema[0].type, pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["id", "copy", "size", "open", "bits", "buckets"])
 
 
 def _words(text: str) -> list[str]:
@@ -146,16 +155,21 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
+def open_close(text: str) -> str:
+    """The last line of content less a system's ellipsis; empty where a sentence mark ends it."""
+    last, end = "", len(text)
+    while end >= 0:  # lines from the end, as most texts need only one
+        at = max(text.rfind(c, 0, end) for c in "\n\r\u2028")
+        last, end = text[at + 1 : end].strip() or last, at
+        if last and not is_mark_line(last):
+            break
+    last = _ELLIPSIS.sub("", last).rstrip()
+    return "" if _TERMINAL.search(last) else last
+
+
 def ends_early(short: str, whole: str) -> bool:
     """The close of `short` stands in `whole`, which goes on inside the same sentence or word."""
-    lines = [line for raw in _LINES.split(short) if (line := raw.strip())]
-    while len(lines) > 1 and is_mark_line(lines[-1]):
-        lines.pop()
-    if not lines:
-        return False
-    last = _ELLIPSIS.sub("", lines[-1]).rstrip()
-    if _TERMINAL.search(last):
-        return False
+    last = open_close(short)
     tail = " ".join(last.split())[-60:]
     flat = "\n".join(" ".join(line.split()) for line in _LINES.split(whole))
     at = flat.rfind(tail)
@@ -165,19 +179,39 @@ def ends_early(short: str, whole: str) -> bool:
     return bool(re.match(r"\w|[ ,;:]+\(?\w", rest))
 
 
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """copy, other_copy, id, other: the pairs of each bucket (bucket, copy, id, size, open, bitmap) that can be similar and of which one can be cut."""
+    large = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks")).where("n_blocks > 1")
+    dealt = members.join(large, "bucket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("copy"), F.col("n_blocks").cast("bigint")).cast("int"))
+    # Each text meets every block, its own among them, in the group of the two blocks.
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("n_blocks", "with")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    once = (F.col("a.copy") < F.col("b.copy")) & ((F.col("a.lo") == F.col("a.hi")) | (F.col("a.block") != F.col("b.block")))
+    # Of x and y shingles at a similarity of s or more, min / max >= s, and at most (x + y) (1 - s) / (1 + s) are in one text only; rounding never drops a pair.
+    x, y = F.col("a.size"), F.col("b.size")
+    only_one = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(BITMAP)), F.lit(0))
+    similar = (F.least(x, y) >= F.greatest(x, y) * (LEAST_SIMILAR - 1e-9)) & (only_one <= (x + y) * ((1 - LEAST_SIMILAR) / (1 + LEAST_SIMILAR) + 1e-9))
+    same_group = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "lo", "hi")]
+    met = a.join(b, [*same_group, once & (F.col("a.open") | F.col("b.open")) & similar])
+    return met.select("a.copy", F.col("b.copy").alias("other_copy"), "a.id", F.col("b.id").alias("other"))
+
+
 def near_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, other, similar, early: verified near-copies, one link of a text to the longest text of each of its buckets."""
+    """id, other, similar, early: all verified near-copies that share a bucket, the shorter first; pairs that both end in a sentence mark are left out."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"\S"))
     kind = texts.schema["id"].dataType.simpleString()
-    banded = cut_lineage(texts.mapInArrow(_signatures, f"id {kind}, copy bigint, size int, bucket bigint"))
+    signed = cut_lineage(texts.mapInArrow(_signatures, f"id {kind}, copy bigint, size int, open boolean, bits array<bigint>, buckets array<bigint>"))
     # Exact copies (equal `copy`) count as one text; texts stay where they are until links are known.
-    shared = banded.groupBy("bucket").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).where("least != most").select("bucket")
+    shared = signed.select("copy", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).where("least != most").select("bucket")
     shared = cut_lineage(shared)
     if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a checked size; otherwise the join shuffles
         shared = F.broadcast(shared)
-    members = banded.join(shared, "bucket")
-    heads = members.groupBy("bucket").agg(F.max_by(F.struct("id", "copy"), F.struct("size", "copy", "id")).alias("h")).select("bucket", F.col("h.id").alias("other"), F.col("h.copy").alias("other_copy"))
-    met = members.join(heads, "bucket").where("copy != other_copy")
+    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)]
+    members = signed.select("id", "copy", "size", "open", *bits, F.explode("buckets").alias("bucket")).join(shared, "bucket")
+    own = [F.first(c).alias(c) for c in ["size", "open", *(f"b{i}" for i in range(BITMAP))]]  # the same in all exact copies
+    members = cut_lineage(members.groupBy("bucket", "copy").agg(F.min("id").alias("id"), *own))
+    met = _bucket_pairs(members)
     links = cut_lineage(met.groupBy("copy", "other_copy").agg(F.min("id").alias("id"), F.min("other").alias("other")).select("id", "other"))
     pairs = links.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("whole")), "other").select("id", "other", "text", "whole")
 
@@ -185,8 +219,8 @@ def near_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             rows = []
             for i, o, a, b in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if min(len(a), len(b)) < 0.5 * max(len(a), len(b)):
-                    continue
+                if (len(a), a) > (len(b), b):
+                    i, o, a, b = o, i, b, a
                 s = similarity(a, b)
                 if s >= LEAST_SIMILAR:
                     rows.append((i, o, s, ends_early(a, b)))

@@ -33,6 +33,22 @@ def test_near_copies_are_aligned(spark, monkeypatch, limit):
     assert {(1, "copy"), (3, "copy")} <= got and not {0, 2, 4} & {d for d, _ in got}
 
 
+@pytest.mark.parametrize("block", [2000, 2, 1])
+def test_all_texts_of_a_bucket_are_compared(spark, monkeypatch, block):
+    # One band of one hash: the common part puts several groups of near-copies and a longer text into one bucket.
+    monkeypatch.setattr(tr, "BANDS", 1)
+    monkeypatch.setattr(tr, "ROWS", 1)
+    monkeypatch.setattr(tr, "BLOCK", block, raising=False)
+    common = " ".join(f"the same for all {i}" for i in range(60))
+    texts = [f"{common} " + " ".join(f"w{i} own{g}" for i in range(30)) + end for g in range(4) for end in (f" of the long red label{g}.", f" of the long red")]
+    texts += [f"{common} " + " ".join(f"more{i} x{i}" for i in range(300)) + "."]
+    want = {(i, i - 1) for i in range(1, 8, 2)}
+    links = {(r.id, r.other): (r.similar, r.early) for r in tr.near_copies(docs(spark, texts), "doc_id", "text").collect()}
+    assert want == {pair for pair, (_, early) in links.items() if early}
+    brute = {(i, j) for i in range(9) for j in range(i) if tr.similarity(texts[i], texts[j]) >= 0.8 and (i % 2 or j % 2) and i < 8}
+    assert {tuple(sorted(p, reverse=True)) for p in links} == brute and all(abs(s - tr.similarity(texts[i], texts[o])) < 1e-9 for (i, o), (s, _) in links.items())
+
+
 def test_similarity_against_signatures(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base)] + [" ".join(base[: 200 - k] + [f"z{k}{j}" for j in range(k)]) for k in (1, 2, 3, 4, 5, 6, 8, 10)]

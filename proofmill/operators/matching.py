@@ -54,6 +54,11 @@ def _salted(variants: DataFrame, salts: DataFrame) -> DataFrame:
 
 def hits(need: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, variant_norm, page_no: pages with an item that carries the variant (age form, substring or words in order)."""
+    return hit_texts(need, items).select("doc_id", "variant_norm", "page_no").distinct()
+
+
+def hit_texts(need: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, variant_norm, page_no, text_norm: the texts that carry the variant."""
     texts, salts = _blocks(items)
     v = F.col("variant_norm")
     distinct = need.select("doc_id", "variant_norm").distinct().withColumn("words", search_words(v))
@@ -63,7 +68,7 @@ def hits(need: DataFrame, items: DataFrame) -> DataFrame:
     text = F.col("text_norm")
     first = F.coalesce(text.contains(F.get("words", F.lit(0))), F.lit(False))
     match = text.contains(v) | F.coalesce(first & F.expr("text_norm like like"), F.lit(False)) | F.coalesce(F.expr("text_norm rlike age"), F.lit(False))
-    return _salted(distinct, salts).join(texts, ["doc_id", "salt"]).where(match).select("doc_id", "variant_norm", "page_no").distinct()
+    return _salted(distinct, salts).join(texts, ["doc_id", "salt"]).where(match).select("doc_id", "variant_norm", "page_no", "text_norm")
 
 
 def page_hits(need: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,6 +123,30 @@ def verdicts(results: DataFrame, checklist: DataFrame, items: DataFrame, thresho
     return seen.select("doc_id", "row_id", (F.size(notes) == 0).alias("match"), F.array_join(notes, "; ").alias("notes"))
 
 
+def term_verdicts(results: DataFrame, checklist: DataFrame, items: DataFrame, threshold: Column) -> DataFrame:
+    """doc_id, row_id, term_no, found, match, notes: the style rules against all items that carry any variant of the term; terms without an item stay, as not found."""
+    need = required(results, checklist)
+    text = items.select("doc_id", tx.normalize(F.col("text")).alias("text_norm"), "bold", "underline", tx.all_caps(F.col("text")).alias("caps"), F.when(~F.isnan("size_mm"), F.col("size_mm")).alias("mm"))
+    styles = [F.bool_or("bold").alias("bold"), F.bool_or("underline").alias("underline"), F.bool_and("caps").alias("caps"), F.max("mm").alias("mm")]
+    per_text = text.groupBy("doc_id", "text_norm").agg(*styles)
+    met = hit_texts(need, items).select("doc_id", "variant_norm", "text_norm").distinct()
+    per_variant = met.join(per_text, ["doc_id", "text_norm"]).groupBy("doc_id", "variant_norm").agg(*styles, F.lit(True).alias("hit"))
+    per_term = need.join(per_variant, ["doc_id", "variant_norm"], "left").groupBy("doc_id", "row_id", "term_no").agg(*styles, F.bool_or("hit").alias("hit"))
+    seen = per_term.join(checklist.select("row_id", F.lower(F.coalesce("specification", F.lit(""))).alias("spec"), threshold.alias("least_mm")), "row_id")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    spec, wants_none = F.col("spec"), F.col("spec").contains("no underline")
+    style = [
+        F.when(spec.contains("bold") & ~yes("bold"), F.lit("Not Bold")),
+        F.when(wants_none & yes("underline"), F.lit("Underline must be absent")),
+        F.when(spec.contains("underline") & ~wants_none & ~yes("underline"), F.lit("Underline Missing")),
+        F.when(spec.contains("all caps") & ~yes("caps"), F.lit("Not All Caps")),
+        F.when(F.col("mm") < F.col("least_mm"), F.lit("Font too small")),
+    ]
+    told = [F.when(~yes("hit"), F.lit("Not found on artwork pages")), *style, F.when(F.col("least_mm").isNotNull() & F.col("mm").isNull(), F.lit("No measurable text for font size"))]
+    failed = F.size(F.array_compact(F.array(*style))) > 0
+    return seen.select("doc_id", "row_id", "term_no", yes("hit").alias("found"), (~failed).alias("match"), F.array_join(F.array_compact(F.array(*told)), "; ").alias("notes"))
+
+
 def salvaged(items: DataFrame) -> DataFrame:
     """doc_id, page_no, item_id of the first bold item of each page, or the first line in capitals of 1.2 mm or more."""
     mm = F.when(~F.isnan("size_mm"), F.col("size_mm"))

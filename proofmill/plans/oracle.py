@@ -84,14 +84,17 @@ variants AS (SELECT row_id, term_no, row_number() OVER (PARTITION BY row_id, ter
 """
 
 
+CARRIES = """(
+  contains(t.text_norm, w.variant_norm)
+  OR (len(w.words) > 0 AND t.text_norm LIKE '%' || replace(array_to_string(w.words, '%'), '_', '\\_') || '%' ESCAPE '\\')
+  OR (w.age <> '' AND regexp_matches(t.text_norm, '(^|[^\\p{L}\\p{N}_])' || w.age || '\\s*\\+($|[^\\p{L}\\p{N}_])')))"""
+
+
 def hits() -> str:
     """CTEs up to `hit`(doc_id, variant_norm, page_no) and `need`."""
     return f"""WITH {TERMS}, {VARIANTS},
 need AS (SELECT DISTINCT r.doc_id, v.row_id, v.term_no, v.variant_no, {normalize('v.variant')} AS variant_norm FROM check_result r JOIN variants v ON r.row_id = v.row_id WHERE r.doc_id IS NOT NULL),
 wanted AS (SELECT DISTINCT doc_id, variant_norm, {words('variant_norm')} AS words, regexp_extract(variant_norm, '^\\s*([0-9]{{1,2}})\\s*\\+\\s*$', 1) AS age FROM need WHERE variant_norm <> ''),
 texts AS (SELECT DISTINCT doc_id, page_no, {normalize('text')} AS text_norm FROM page_items),
-hit AS (SELECT DISTINCT w.doc_id, w.variant_norm, t.page_no FROM wanted w JOIN texts t ON w.doc_id = t.doc_id AND t.text_norm <> '' AND (
-  contains(t.text_norm, w.variant_norm)
-  OR (len(w.words) > 0 AND t.text_norm LIKE '%' || replace(array_to_string(w.words, '%'), '_', '\\_') || '%' ESCAPE '\\')
-  OR (w.age <> '' AND regexp_matches(t.text_norm, '(^|[^\\p{{L}}\\p{{N}}_])' || w.age || '\\s*\\+($|[^\\p{{L}}\\p{{N}}_])'))))
+hit AS (SELECT DISTINCT w.doc_id, w.variant_norm, t.page_no FROM wanted w JOIN texts t ON w.doc_id = t.doc_id AND t.text_norm <> '' AND {CARRIES})
 """

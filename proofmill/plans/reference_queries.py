@@ -408,6 +408,19 @@ def _(results, checklist, items):
     return mt.verdicts(results, checklist, items, F.round(nb.threshold_mm(F.col("specification")), 6))
 
 
+@query("verdict_terms", "check_result checklist page_items", q.hits() + f""",
+met AS (SELECT DISTINCT w.doc_id, w.variant_norm, t.text_norm FROM wanted w JOIN texts t ON w.doc_id = t.doc_id AND t.text_norm <> '' AND {q.CARRIES}),
+s AS (SELECT doc_id, {q.normalize('text')} AS text_norm, bold, underline, {q.all_caps('text')} AS caps, CASE WHEN isnan(size_mm) THEN NULL ELSE size_mm END AS mm FROM page_items),
+e AS (SELECT n.doc_id, n.row_id, n.term_no::INT AS term_no, count(m.text_norm) > 0 AS found, coalesce(bool_or(s.bold), false) AS bold, coalesce(bool_or(s.underline), false) AS underline, coalesce(bool_and(s.caps), false) AS caps, max(s.mm) AS mm
+  FROM need n LEFT JOIN met m USING (doc_id, variant_norm) LEFT JOIN s ON s.doc_id = m.doc_id AND s.text_norm = m.text_norm WHERE n.variant_norm <> '' GROUP BY 1, 2, 3),
+v AS (SELECT e.*, l.least_mm, list_filter([CASE WHEN contains(spec, 'bold') AND NOT bold THEN 'Not Bold' END, CASE WHEN contains(spec, 'no underline') AND underline THEN 'Underline must be absent' END,
+    CASE WHEN contains(spec, 'underline') AND NOT contains(spec, 'no underline') AND NOT underline THEN 'Underline Missing' END, CASE WHEN contains(spec, 'all caps') AND NOT caps THEN 'Not All Caps' END, CASE WHEN mm < least_mm THEN 'Font too small' END], lambda x: x IS NOT NULL) AS notes
+  FROM e JOIN (SELECT row_id, {_SPEC} AS spec FROM checklist) c USING (row_id) JOIN ({SQL['threshold_parse']}) l USING (row_id))
+SELECT doc_id, row_id, term_no, found, len(notes) = 0 AS match, coalesce(array_to_string(list_filter([CASE WHEN NOT found THEN 'Not found on artwork pages' END] || notes || [CASE WHEN least_mm IS NOT NULL AND mm IS NULL THEN 'No measurable text for font size' END], lambda x: x IS NOT NULL), '; '), '') AS notes FROM v""")
+def _(results, checklist, items):
+    return mt.term_verdicts(results, checklist, items, F.round(nb.threshold_mm(F.col("specification")), 6))
+
+
 @query("fuzzy_pairs", "check_result checklist page_items")
 def _(results, checklist, items):
     return mt.fuzzy(mt.required(results, checklist), items)

@@ -52,6 +52,21 @@ def test_verdicts(spark):
     assert got == {0: (False, "Font too small"), 1: (True, ""), 2: (False, "Not All Caps"), 3: (False, "Underline must be absent"), 5: (True, "")}
 
 
+def test_term_verdicts_keep_every_term(spark):
+    from pyspark.sql import functions as F
+
+    from proofmill.functions import numbers as nb
+
+    rows = items(spark, [("d", 1, "Keep one dry", {"bold": True, "mm": 1.0}), ("d", 2, "TWO here", {"underline": True, "mm": 2.0}), ("d", 2, "two here", {"mm": None})])
+    # Part of an item; two wordings in a cell; no item; no item and a size; styles over all spellings of an item.
+    check = checklist(spark, [("one", "bold, ≥ 1.5 mm"), ("one; two here", "bold, underline, ≥ 1.5 mm"), ("none here", "bold"), ("nor here", "≥ 1.5 mm"), ("two here", "all caps; no underline"), ("one", None)])
+    got = {(r.row_id, r.term_no): (r.found, r.match, r.notes) for r in mt.term_verdicts(results(spark, [("d", i) for i in range(6)]), check, rows, nb.threshold_mm(F.col("specification"))).collect()}
+    assert got == {
+        (0, 0): (True, False, "Font too small"), (1, 0): (True, True, ""), (2, 0): (False, False, "Not found on artwork pages; Not Bold"),
+        (3, 0): (False, True, "Not found on artwork pages; No measurable text for font size"), (4, 0): (True, False, "Underline must be absent; Not All Caps"), (5, 0): (True, True, ""),
+    }
+
+
 def test_geometry(spark):
     box = (0.0, 0.0, 10.0, 10.0)
     rows = items(spark, [

@@ -161,6 +161,17 @@ def parse_image_groups(cell: Column) -> Column:
     return F.filter(F.aggregate(lines, start, step), lambda g: F.size(g["paths"]) > 0)
 
 
+def all_image_groups(groups: Column) -> Column:
+    """The groups of a row written as cells and parsed: each group without a name as a cell of bare paths whose mode stands beside it, ahead of one cell of the named groups."""
+    groups = F.coalesce(groups, F.array().cast("array<struct<name:string,mode:string,paths:array<string>>>"))
+    blank_ = lambda g: F.trim(F.coalesce(g["name"], F.lit(""))) == ""
+    mode = lambda g: F.coalesce(g["mode"], F.lit("any"))
+    paths = lambda g: F.array_join(F.coalesce(g["paths"], F.array().cast("array<string>")), "\n")
+    bare = F.transform(F.filter(groups, blank_), lambda g: F.transform(parse_image_groups(paths(g)), lambda p: F.struct(p["name"].alias("name"), F.lower(mode(g)).alias("mode"), p["paths"].alias("paths"))))
+    named = F.transform(F.filter(groups, lambda g: ~blank_(g)), lambda g: F.concat(F.lit("[GROUP: "), g["name"], F.lit("]["), F.upper(mode(g)), F.lit("]\n"), paths(g)))
+    return F.concat(F.flatten(bare), parse_image_groups(F.array_join(named, "\n")))
+
+
 def ordered_groups(rows: DataFrame) -> DataFrame:
     """Report order: groups of (requirement, specification, verification) as first seen, rows in order inside."""
     keys = [F.coalesce(c, F.lit("")) for c in ("requirement", "specification", "verification")]

@@ -181,6 +181,13 @@ def _(checklist):
     return checklist.select("row_id", F.posexplode(cl.parse_image_groups(cell)).alias("group_no", "g")).select("row_id", "group_no", "g.name", "g.mode", F.array_join("g.paths", ";").alias("paths"))
 
 
+@query("image_groups_all", "checklist", r"""
+SELECT row_id, generate_subscripts(g, 1)::INT - 1 AS group_no, trim(coalesce(unnest(g).name, '')) AS name, unnest(g).mode AS mode, array_to_string(unnest(g).paths, ';') AS paths FROM (
+  SELECT row_id, list_filter(image_groups_resolved, lambda x: len(x.paths) > 0 AND trim(coalesce(x.name, '')) = '') || list_filter(image_groups_resolved, lambda x: len(x.paths) > 0 AND trim(coalesce(x.name, '')) <> '') AS g FROM checklist)""")
+def _(checklist):
+    return checklist.select("row_id", F.posexplode(cl.all_image_groups(F.col("image_groups_resolved"))).alias("group_no", "g")).select("row_id", "group_no", "g.name", "g.mode", F.array_join("g.paths", ";").alias("paths"))
+
+
 @query("group_order", "checklist", """
 SELECT checklist_id, row_id, row_number() OVER (PARTITION BY checklist_id ORDER BY a, b, row_no, row_id)::INT AS report_no FROM (
   SELECT *, first_value(row_no) OVER w AS a, first_value(row_id) OVER w AS b FROM checklist WINDOW w AS (PARTITION BY checklist_id, coalesce(requirement, ''), coalesce(specification, ''), coalesce(verification, '') ORDER BY row_no, row_id))""")

@@ -97,6 +97,15 @@ def test_empty(spark):
     assert mt.term_pages(results(spark, []), checklist(spark, []), none).collect() == []
 
 
+def test_image_groups_without_a_name_are_parsed(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [("", "any", ["a", "b"])]), (2, [("N", "all", ["c"]), (" ", "all", ["d\\e", "-"]), (None, None, ["f"])]), (3, [("", "any", []), ("M", None, ["g"])]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, image_groups_resolved array<struct<name:string,mode:string,paths:array<string>>>")
+    got = {r.row_id: [(g.name, g.mode, g.paths) for g in r.g] for r in df.select("row_id", cl.all_image_groups(F.col("image_groups_resolved")).alias("g")).collect()}
+    assert got == {1: [("", "any", ["a", "b"])], 2: [("", "all", ["d/e"]), ("", "any", ["f"]), ("N", "all", ["c"])], 3: [("M", "any", ["g"])], 4: [], 5: []}
+
+
 def test_checklist_rows(spark):
     schema = "row_id bigint, checklist_id string, row_no int, requirement string, symbol_exact_wording string, specification string, verification string, remark string, has_image boolean"
     rows = [

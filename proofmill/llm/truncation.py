@@ -38,7 +38,9 @@ BITMAP = 4
 #: A longer line is no heading and no list entry.
 LONGEST_CLOSE = 200
 _LINES = re.compile(r"\r\n|\r|\n| ")
-_TOKEN = re.compile(r"\S+")
+#: Words, signs, and the letters of scripts without blanks between words.
+_UNSPACED = "\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff"
+_TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s]")
 _TERMINAL = re.compile(r"[.!?。！？](?:[\"'”’»)\]]|\s)*$")
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\(…\))\s*$")
 _CODE = re.compile(r"\(?\b[A-Z]{1,5}\d[\w-]*\d[\w-]*\)?\s*$")
@@ -140,7 +142,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Parities of the shingles by their last bits: the bits in which two bitmaps differ are at most the shingles that only one text has.
             odd = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
             keys = [xxhash.xxh3_64_intdigest(low[b * ROWS : b * ROWS + ROWS].tobytes(), seed=b) - 2**63 for b in range(BANDS)]
-            rows.append((k, xxhash.xxh3_64_intdigest(t) - 2**63, len(shingles), bool(open_close(t)), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), keys))
+            rows.append((k, xxhash.xxh3_64_intdigest(t) - 2**63, len(shingles), open_end(t) > 0, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), keys))
         cols = list(zip(*rows)) or [[]] * 6
         types = [batch.schema[0].type, pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["id", "copy", "size", "open", "bits", "buckets"])
@@ -155,28 +157,42 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
-def open_close(text: str) -> str:
-    """The last line of content less a system's ellipsis; empty where a sentence mark ends it."""
-    last, end = "", len(text)
+def open_end(text: str) -> int:
+    """Where the last line of content ends, less a system's ellipsis; 0 where a sentence mark ends it."""
+    last, at, end = "", 0, len(text)
     while end >= 0:  # lines from the end, as most texts need only one
-        at = max(text.rfind(c, 0, end) for c in "\n\r\u2028")
-        last, end = text[at + 1 : end].strip() or last, at
-        if last and not is_mark_line(last):
-            break
-    last = _ELLIPSIS.sub("", last).rstrip()
-    return "" if _TERMINAL.search(last) else last
+        start = max(text.rfind(c, 0, end) for c in "\n\r\u2028") + 1
+        if text[start:end].strip():
+            last, at = text[start:end], start
+            if not is_mark_line(last.strip()):
+                break
+        end = start - 1
+    last = _ELLIPSIS.sub("", last.rstrip()).rstrip()
+    return 0 if not last.strip() or _TERMINAL.search(last) else at + len(last)
 
 
 def ends_early(short: str, whole: str) -> bool:
-    """The close of `short` stands in `whole`, which goes on inside the same sentence or word."""
-    last = open_close(short)
-    tail = " ".join(last.split())[-60:]
-    flat = "\n".join(" ".join(line.split()) for line in _LINES.split(whole))
-    at = flat.rfind(tail)
-    if at < 0 or len(tail) < 12:
+    """The last word of `short`, where the alignment of the two word sequences puts it in `whole`, goes on there inside the same sentence or word."""
+    a = _TOKEN.findall(short[: open_end(short)])
+    if not a:
         return False
-    rest = flat[at + len(tail) :].split("\n", 1)[0]
-    return bool(re.match(r"\w|[ ,;:]+\(?\w", rest))
+    last = a.pop()
+    where: dict[str, int] = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | 1 << i
+    # Most words in common (bit-parallel): a zero bit i of `row` tells that word i of `short` adds one to the count so far.
+    every = (1 << len(a)) - 1
+    row, ends = every, []
+    for m in _TOKEN.finditer(whole):
+        if m.group().startswith(last):
+            ends.append((len(a) - row.bit_count() + 1, m.start() + len(last)))
+        hit = row & where.get(m.group(), 0)
+        row = ((row + hit) | (row - hit)) & every
+    best = max(ends, default=(0, 0))[0]
+    if best < len(a) - row.bit_count():
+        return False  # the alignment leaves the last word out
+    at = next((end for n, end in ends if n == best), 0)
+    return bool(at and re.match(r"\w|[\s,;:]+\(?\w", _LINES.split(whole[at:], maxsplit=1)[0]))
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:

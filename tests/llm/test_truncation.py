@@ -33,6 +33,18 @@ def test_near_copies_are_aligned(spark, monkeypatch, limit):
     assert {(1, "copy"), (3, "copy")} <= got and not {0, 2, 4} & {d for d, _ in got}
 
 
+def test_alignment_tells_where_a_copy_ends():
+    base = " ".join(f"word{i} goes on" for i in range(60)) + ". "
+    whole = base + "Then the long red label goes on the lid.\n- the lid\n- ab cd\nAt the end, the long red label.\n- the lid"
+    early = ["Then the lomg red label goes", "Then the long red la", "Then the long red", "Then the long red label goes on the lid.\n- ab", "Then the", "T", "Then the long red label […]\n[2/6]"]
+    complete = ["Then the long red label goes on the lid.", "Then the long red label goes on the lid.\n- the lid", whole[len(base) :], "Then the long red label goes on the lid.\n- the lid\n- ab cd\n- another thing"]
+    assert [tr.ends_early(base + t, whole) for t in early] == [True] * len(early)
+    assert [tr.ends_early(base + t, whole) for t in complete] == [False] * len(complete)
+    assert tr.ends_early("ลูกค้าต้องอ่านคำเตีอนก่อนใช้", "ลูกค้าต้องอ่านคำเตือนก่อนใช้งานทุกครั้ง") and not tr.ends_early("", whole) and not tr.ends_early("a", "")
+    long = "It goes on. " * 20_000
+    assert tr.ends_early(long + "And", long + "And so it ends.") and not tr.ends_early(long + "And", long)
+
+
 @pytest.mark.parametrize("block", [2000, 2, 1])
 def test_all_texts_of_a_bucket_are_compared(spark, monkeypatch, block):
     # One band of one hash: the common part puts several groups of near-copies and a longer text into one bucket.

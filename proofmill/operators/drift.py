@@ -198,12 +198,15 @@ def changes(files: DataFrame, raw: DataFrame, checklist: DataFrame) -> DataFrame
     """file_id, field, change_kind, header_before, header_now: every change of a file against the one before."""
     found = cells(spread(raw.select("raw_id", "file_id", "payload")))
     sketch = cut_lineage(_sketch(found, ["file_id", "name"], "value"))
+    return _changes(files, found, sketch, header_targets(found, checklist, sketch))
+
+
+def _changes(files: DataFrame, found: DataFrame, sketch: DataFrame, target: DataFrame) -> DataFrame:
     counted = found.groupBy("file_id", "name", "kind").agg(F.count("*").alias("n"), F.min("header").alias("header"))
     kinds = counted.groupBy("file_id", "name").agg(
         F.min("header").alias("header"), F.map_from_entries(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))).alias("kinds")
     )
     maps = sketch.groupBy("file_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("sketch"))
-    target = header_targets(found, checklist, sketch)
     profile = kinds.join(maps, ["file_id", "name"], "left").join(target, "name")
     per_file = profile.groupBy("file_id").agg(F.collect_list(F.struct("name", "header", "target", "kinds", "sketch")).alias("fields"))
     steps = _before(files).where(F.col("prev_id").isNotNull())
@@ -223,14 +226,61 @@ def changes(files: DataFrame, raw: DataFrame, checklist: DataFrame) -> DataFrame
     return pairs.mapInArrow(run, "file_id bigint, field string, change_kind string, header_before string, header_now string")
 
 
+def _same_fields(files: DataFrame, changes_: DataFrame, target: DataFrame) -> DataFrame:
+    """template_id, name, key, to_target: the headers of a template that renames tie together, under the name that came first and their only target."""
+    renames = changes_.where("change_kind = 'renamed'").select("file_id", name_key(F.col("header_before")).alias("old"), name_key(F.col("header_now")).alias("new"))
+    steps = renames.join(files, "file_id").groupBy("template_id", "old", "new").agg(F.min(F.struct("exported_at", "file_id")).alias("at"))
+    for c in ("old", "new"):
+        steps = steps.join(target.select(F.col("name").alias(c), F.col("target").alias(f"{c}_target")), c)
+    steps = steps.select("template_id", "old", "new", "old_target", "new_target", F.col("at.exported_at").alias("exported_at"), F.col("at.file_id").alias("file_id"))
+    kind = steps.schema["template_id"].dataType
+
+    def run(group: pa.Table) -> pa.Table:
+        first: dict[str, str] = {}
+        targets: dict[str, set] = {}
+
+        def root(name: str) -> str:
+            while first.setdefault(name, name) != name:
+                name = first[name]
+            return name
+
+        rows = sorted(group.to_pylist(), key=lambda r: (r["exported_at"], r["file_id"], r["old"], r["new"]))
+        for r in rows:
+            a, b = root(r["old"]), root(r["new"])
+            first[b] = a
+        for r in rows:
+            targets.setdefault(root(r["old"]), set()).update(t for t in (r["old_target"], r["new_target"]) if t)
+        names = list(first)
+        only = [next(iter(t)) if len(t := targets[root(n)]) == 1 else None for n in names]
+        return pa.table({"template_id": pa.array([rows[0]["template_id"]] * len(names), group.schema.field("template_id").type), "name": pa.array(names, pa.string()), "key": pa.array([root(n) for n in names], pa.string()), "to_target": pa.array(only, pa.string())})
+
+    return steps.groupBy("template_id").applyInArrow(run, f"template_id {kind.simpleString()}, name string, key string, to_target string")
+
+
 def unified(files: DataFrame, raw: DataFrame, checklist: DataFrame) -> DataFrame:
-    """raw_id, file_id, template_id, sheet_row, the target columns as text, and other_fields: one table of all files."""
+    """raw_id, file_id, template_id, sheet_row, the target columns as text, and other_fields: one table of all files.
+
+    Headers that were paired as renames inside a template are one field: under the target of either, else in other_fields under
+    the name that came first.  Where several headers of a row share a field, the column has the largest value, and the others
+    are in other_fields under their own names; a name that is taken gets a number.
+    """
     found = cells(spread(raw.select("raw_id", "file_id", "payload")))
-    sketch = _sketch(found, ["name"], "value")
-    target = header_targets(found, checklist, sketch)
-    typed = found.join(target, "name")
+    sketch = cut_lineage(_sketch(found, ["file_id", "name"], "value"))
+    target = cut_lineage(header_targets(found, checklist, sketch))
+    one = _same_fields(files, _changes(files, found, sketch, target), target)
+    typed = found.join(target, "name").join(files.select("file_id", "template_id"), "file_id").join(one, ["template_id", "name"], "left")
+    typed = typed.select("raw_id", "name", F.coalesce("target", "to_target").alias("target"), F.coalesce("key", "name").alias("key"), "value")
     columns = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in TARGETS]
-    rest = F.map_from_entries(F.collect_list(F.when(F.col("target").isNull(), F.struct("name", "value")))).alias("other_fields")
-    wide = typed.groupBy("raw_id").agg(*columns, rest)
+    # Fields kept under their own first name come before those that were renamed to it.
+    listed = F.array_sort(F.collect_set(F.struct("key", (F.col("key") != F.col("name")).alias("moved"), "name", "target", "value"))).alias("listed")
+    larger = lambda x: F.exists("listed", lambda y: (y["target"] == x["target"]) & (y["value"] > x["value"]))
+    rest = F.transform(F.filter("listed", lambda x: x["target"].isNull() | larger(x)), lambda x: F.struct(F.when(x["target"].isNull(), x["key"]).otherwise(x["name"]).alias("key"), x["value"].alias("value")))
+    wide = typed.groupBy("raw_id").agg(*columns, listed).withColumn("rest", F.array_distinct(rest))
+    same = lambda x, y: y["key"] == x["key"]
+    told = F.filter("rest", lambda x: x["value"].isNotNull() | ~F.exists("rest", lambda y: same(x, y) & y["value"].isNotNull()))
+    wide = wide.withColumn("rest", told)
+    number = lambda x, i: F.size(F.filter(F.slice("rest", F.lit(1), i), lambda y: same(x, y))) + 1
+    numbered = F.transform("rest", lambda x, i: F.struct(F.when(number(x, i) > 1, F.concat(x["key"], F.lit(" "), number(x, i).cast("string"))).otherwise(x["key"]).alias("key"), x["value"].alias("value")))
+    wide = wide.withColumn("other_fields", F.map_from_entries(numbered)).drop("listed", "rest")
     head = raw.select("raw_id", "file_id", "sheet_row").join(files.select("file_id", "template_id"), "file_id")
     return head.join(wide, "raw_id", "left")

@@ -59,6 +59,17 @@ def test_unified(spark):
     assert rows[0].requirement == rows[1].requirement == "Age mark" and rows[0].other_fields == {"odd": "1"} and rows[2].requirement is None and len(rows) == 3
 
 
+def test_unified_joins_renamed_fields_and_keeps_every_value(spark):
+    files = [(1, "T", datetime(2024, 1, 5)), (2, "T", datetime(2024, 2, 5)), (3, "T", datetime(2024, 3, 5)), (4, "U", datetime(2024, 1, 1))]
+    words = ["crimson dye lot", "azure dye lot", "olive dye lot"]
+    raw = [(1, {"Requirement": "Age mark", "Shade batch": w}) for w in words] + [(2, {"Requirement": "Age mark", "Shade group": w}) for w in words] + [(3, {"Requirement": "Age mark", "Farbcharge": w}) for w in words]
+    raw += [(4, {"Farbcharge": "x", "farb charge": "y", "Requirement": "Age mark", "requirement ": "Brand seal"})]
+    rows = [r for r in d.unified(*tables(spark, files, raw)).orderBy("raw_id").collect()]
+    assert [r.other_fields for r in rows[:9]] == [{"shadebatch": w} for w in words * 3]  # as in the first file of the template
+    assert rows[9].requirement == "Brand seal" and rows[9].other_fields == {"farbcharge": "x", "farbcharge 2": "y", "requirement": "Age mark"}
+    assert len(rows) == 10
+
+
 def test_assignment_is_optimal():
     rng = random.Random(3)
     for _ in range(150):

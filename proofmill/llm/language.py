@@ -69,10 +69,10 @@ def _features(word: str) -> list[int]:
         if latin * 2 > len(w):
             w = w.translate(_FOLD)
         w = unicodedata.normalize("NFC", w)
-    w = w[:40]
     p = f"^{w}$"
-    names = [f"w{w}", *(f"p{w[:n]}" for n in (1, 2, 3)), *(f"s{w[-n:]}" for n in (1, 2, 3, 4)), *(f"n{p[i : i + n]}" for n in (2, 3, 4) for i in range(len(p) - n + 1))]
-    return [zlib.crc32(x.encode()) % FEATURES for x in dict.fromkeys(names)]
+    names = dict.fromkeys([f"w{w}", *(f"p{w[:n]}" for n in (1, 2, 3)), *(f"s{w[-n:]}" for n in (1, 2, 3, 4))])
+    names.update((f"n{p[i : i + n]}", None) for n in (2, 3, 4) for i in range(len(p) - n + 1))  # only different ones are held, however long the word
+    return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
 def _foreign(word: str) -> bool:

@@ -30,6 +30,14 @@ def model():
     return lg.fit(texts, epochs=20)
 
 
+def test_features_are_of_the_whole_word():
+    import zlib
+
+    long = "abc" * 20 + "heitsung"
+    want = {zlib.crc32(x.encode()) % lg.FEATURES for x in (f"w{long}", "pabc", "sg", "ssung", "neits", "nng$")}
+    assert want <= set(lg._features(long)) and lg._features("abc" * 20 + "x") != lg._features("abc" * 20 + "y")
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     emit, trans = rng.normal(size=(7, 8)), rng.normal(size=(3, 8, 8))

@@ -36,8 +36,7 @@ def p5_found(spark, d):
 
 def p5_item_heights(spark, d):
     """Height in micrometres of every page item that states one."""
-    um, _ = units.micrometres()
-    return units.item_sizes(table(spark, d, "page_items")).join(F.broadcast(units.factors(spark)), "unit").select("item_id", "unit", um.cast("bigint").alias("size_um"))
+    return units.in_micrometres(units.item_sizes(table(spark, d, "page_items"))).select("item_id", "unit", "size_um")
 
 
 QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_values_per_cell": p2_values_per_cell, "p5_found": p5_found, "p5_item_heights": p5_item_heights}

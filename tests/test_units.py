@@ -15,7 +15,10 @@ A = u._automaton()
     [
         ("h=6.31mm", (631, 100, "mm")), ("ca. 119 thou", (119, 1, "mil")), ("0,053  in.", (53, 1000, "in")), ('0.058"', (58, 1000, "in")), ("5/64-inch", (5, 64, "in")),
         ("3250 um", (3250, 1, "um")), ("4720 μm", (4720, 1, "um")), ("7.1 Pt.", (71, 10, "pt")), ("0.8 pc", (8, 10, "pica")), ("1 1/8 in", (9, 8, "in")), ("5.5", (55, 10, None)),
-        ("", None), (None, None), ("no number", None), ("9" * 50 + " mm", None),
+        ("", None), (None, None), ("no number", None), ("9" * 50 + " mm", None), ("9" * 6000 + " mm", None),
+        ("1.234,5 mm", (12345, 10, "mm")), ("1,234.5 mm", (12345, 10, "mm")), ("1 200 mm", (1200, 1, "mm")), ("1'200,5 mm", (12005, 10, "mm")), ("1.234.567 µm", (1234567, 1, "um")), ("1.234 mm", (1234, 1000, "mm")),
+        ("½ in", (1, 2, "in")), ("1½ in", (3, 2, "in")), ("2 ⅜\"", (19, 8, "in")), ("2 m", (2, 1, "m")), ("1 ft", (1, 1, "ft")), ("6 Q", (6, 1, "q")), ("8 didot", (8, 1, "didot")), ("12345678901234567 um", (12345678901234567, 1, "um")),
+        ("0.0000000000001 mm", (1, 10**13, "mm")), ("clause 4 120 pt", (120, 1, "pt")), ("0." + "0" * 30 + "1 mm", (0, 10**17, "mm")),
     ],
 )
 def test_reads_quantities(text, found):
@@ -27,6 +30,7 @@ def test_reads_quantities(text, found):
     [
         ("Clause 7-1: min 3.02 MM", (302, 100, "mm")), ("See drawing 12", None), ("Class 2/3 ink", None), ("Bold, ≥ 1.5", (15, 10, None)), ("> 4", (4, 1, None)), ("3.1", (31, 10, None)),
         ("letter height at least 3.1", (31, 10, None)), ("All caps; cap height from 2520 µm", (2520, 1, "um")), ("≥9/9 inch, no underline", (9, 9, "in")), ("Not below the fold", None), ("-", None),
+        ("Höhe 1,2", (12, 10, None)), ("hauteur 1,2", (12, 10, None)), ("Zeichnung 12", None), ("höhe 1.200,5", (12005, 10, None)), ("½", None),
     ],
 )
 def test_reads_stated_heights(text, found):
@@ -49,6 +53,8 @@ def test_common_unit(spark):
     assert got == [(2, 50800), (3, 3528), (6, 3000), (6, 3000), (9, 1000)]
     specs = spark.createDataFrame([(1, "≥ 2"), (2, None), (3, ""), (4, "min. 1 pt"), (4, "min. 1 pt"), (5, "x" * 50_000 + " 2 mm")], "row_id bigint, specification string")
     assert sorted(map(tuple, u.stated_heights(specs).collect())) == [(1, 2000), (4, 353), (4, 353), (5, 2000)]
+    huge = spark.createDataFrame([(1, "99999999999999999 m"), (2, "9000000000000 m")], "row_id bigint, specification string")  # the first has more micrometres than 64 bits hold
+    assert [tuple(r) for r in u.stated_heights(huge).collect()] == [(2, 9 * 10**18)]
 
 
 def test_empty_tables(spark):

@@ -41,13 +41,12 @@ def _leaks(spark, d):
 
 
 def p6_found(spark, d):
-    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return _leaks(spark, d).where("passage_no = 1").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p6_passages(spark, d):
     """Where in the original text the passages stand."""
-    found = _leaks(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "start", "end", F.expr("substring(text, cast(start + 1 as int), cast(end - start as int))").alias("passage"))
+    return _leaks(spark, d).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
 def p7_selected(spark, d):

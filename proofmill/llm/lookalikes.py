@@ -19,6 +19,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +34,16 @@ SAME_LOOK = {
     "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ",
     "s": "ѕ", "u": "υ", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγү", "к": "κ", "ι": "ı",
 }
+#: Armenian, Cherokee and Lisu letters that look like a Latin capital or small letter.
+SAME_LOOK_FAR = {
+    "A": "Ꭺꓮ", "B": "Ᏼꓐ", "C": "Ꮯꓚ", "D": "Ꭰꓓ", "E": "Ꭼꓰ", "F": "ꓝ", "G": "Ꮐꓖ", "H": "Ꮋꓧ", "I": "ꓲ", "J": "Ꭻꓙ", "K": "Ꮶꓗ", "L": "Ꮮꓡ", "M": "Ꮇꓟ",
+    "N": "ꓠ", "O": "Օꓳ", "P": "Ꮲꓑ", "R": "Ꭱꓣ", "S": "ՏꓢᏚ", "T": "Ꭲꓔ", "U": "Սꓴ", "V": "Ꮩꓦ", "W": "Ꮃꓪ", "X": "ꓫ", "Y": "Ꭹꓬ", "Z": "Ꮓꓜ",
+    "g": "ց", "h": "հ", "n": "ո", "o": "օ", "q": "զ", "u": "ս",
+}
 #: Marks that look like a hyphen-minus or an apostrophe.
 SAME_MARK = {"-": "‐‑‒−﹣－﹘", "'": "ʼ＇ʹ"}
+#: Reference texts sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _JOINED_OTHERS = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿͏؜ᅟᅠ឴឵᠎"
 
 
@@ -70,14 +79,28 @@ def invisible(c: str) -> bool:
     return c in _JOINED_OTHERS or unicodedata.category(c) == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF
 
 
+@cache
+def compositions() -> list[tuple[str, str, str]]:
+    """(whole, base, mark) of every character that is canonically one character and one mark, by the Unicode data."""
+    out = []
+    for point in range(0xC0, 0x20000):
+        parts = unicodedata.decomposition(chr(point)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            base, mark = (chr(int(p, 16)) for p in parts)
+            if unicodedata.combining(mark) and unicodedata.normalize("NFC", base + mark) == chr(point):
+                out.append((chr(point), base, mark))
+    return out
+
+
 def rewriting(counts: dict[str, int]) -> dict[str, str]:
     """string -> representative for every string of a class that is not its own representative."""
     classes, alphabet = Classes(), set(counts)
     letters = {c for c in alphabet if len(c) == 1}
-    for latin, others in (SAME_LOOK | SAME_MARK).items():
-        for c in others:
-            classes.union(latin, c)
-        letters |= {latin, *others}
+    for table in (SAME_LOOK, SAME_LOOK_FAR, SAME_MARK):
+        for latin, others in table.items():
+            for c in others:
+                classes.union(latin, c)
+            letters |= {latin, *others}
     for c in alphabet:
         if invisible(c):
             classes.union("", c)
@@ -91,20 +114,20 @@ def rewriting(counts: dict[str, int]) -> dict[str, str]:
             split = unicodedata.normalize("NFKD", c)
             if split not in (c, plain) and split.strip():
                 classes.union(c, split)
-    # Marked letters: whatever looks like the base looks, with the mark, like the marked letter.
-    marks = {c for c in alphabet if unicodedata.combining(c)}
+    # Marked letters: whatever looks like the base looks, with the mark, like the marked letter.  Only the pairs that
+    # compose are visited, once each, bases before the letters made from them.
+    marks = {m for c in letters for m in unicodedata.normalize("NFD", c) if unicodedata.combining(m)}
     groups = classes.members()
-    for base in list(letters):
-        for mark in marks | {m for c in letters for m in unicodedata.normalize("NFD", c)[1:]}:
-            whole = unicodedata.normalize("NFC", base + mark)
-            if len(whole) != 1:
-                continue
-            for other in [base, *groups.get(classes.find(base), ())]:
-                if len(other) == 1:
-                    classes.union(whole, other + mark)
-                    twin = unicodedata.normalize("NFC", other + mark)
-                    if twin != whole:
-                        classes.union(whole, twin)
+    for whole, base, mark in compositions():
+        if mark not in marks or base not in letters:
+            continue
+        letters.add(whole)
+        for other in [base, *groups.get(classes.find(base), ())]:
+            if len(other) == 1:
+                classes.union(whole, other + mark)
+                twin = unicodedata.normalize("NFC", other + mark)
+                if twin != whole:
+                    classes.union(whole, twin)
     table = {}
     for members in classes.members().values():
         # The empty string and the plain blank stand for their classes whatever their count.
@@ -125,7 +148,9 @@ def rewriter(table: dict[str, str]):
     several = {c for k in table if len(k) > 1 for c in k[1:]}
 
     def rewrite(text: str) -> str:
-        for _ in range(8):
+        seen = set()
+        while text not in seen:  # until nothing changes
+            seen.add(text)
             if several.isdisjoint(text):
                 new = text.translate(singles)
             else:
@@ -134,8 +159,6 @@ def rewriter(table: dict[str, str]):
                     parts += (text[at : end - size + 1], v)
                     at = end + 1
                 new = "".join(parts) + text[at:]
-            if new == text:
-                break
             text = new
         return " ".join(text.split())
 
@@ -184,5 +207,7 @@ def same_look(texts: DataFrame, key: list[str], text: str, reference: DataFrame,
     counts = {r["c"]: r["n"] for r in character_counts(both, "text").collect()}  # bounded: one row per code point
     table = rewriting(counts)
     wanted = canonical(reference.select(ref_key, F.col(ref_text).alias("ref")), [ref_key], "ref", table).withColumnRenamed("text", "ref")
+    if reference.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a checked size: texts then stay where they are
+        wanted = F.broadcast(wanted)
     found = canonical(texts, key, "text", table).join(wanted, "form")
     return found.where(F.col("text") != F.col("ref")).select(*key, "text", ref_key)

@@ -1,25 +1,28 @@
 """Mixing sources to target weights, in tokens of a public tokenizer.
 
-A budget is handed down a tree whose first level carries the targets (the sources) and whose deeper levels (language,
-kind of document) share their parent's budget in proportion to their size.  A node takes no more than its capacity, its
-tokens times the allowed repeats; what it cannot take goes to its siblings in proportion to their weights, and only what
-no sibling can take goes up to the ancestors.  A leaf gives every document as many whole epochs as fit and fills the rest
-with the token-prefix of one more epoch in an order seeded by epoch and document.
-
-Sizes: one row per leaf reaches the driver, at most MAX_LEAVES; if there are more, the innermost levels are folded into
-their parents, which changes no source's share.  The prefix of a leaf is found by token sums of hash buckets, so only the
-bucket in which the budget ends is ordered, never a whole leaf.
+A budget is handed down a tree of domain (kind of document), language and source.  A leaf starts with its source's target
+times its part of the source's tokens, an inner node with the sum of its leaves (or with weights of its own, where a level
+is given some), so without a shortage every source gets its target.  A node takes no more than its capacity, its tokens
+times the allowed repeats; what it cannot take goes to its siblings in proportion to their weights, and only what no
+sibling can take goes up to the ancestors.  A leaf gives every document as many whole epochs as fit and fills the rest with
+the token-prefix of one more epoch in an order seeded by epoch and document.
+
+Sizes: the budgets are computed on the tables of nodes, level by level, by running sums over siblings in the order in
+which they fill up; no node reaches the driver.  Plans of at most LEAVES_SENT leaves (a checked size) are sent to every
+executor, larger ones are joined by a shuffle.  The prefix of a leaf is found by token sums of hash buckets of some
+BUCKET_DOCS documents, so only the bucket in which the budget ends is ordered, never a whole leaf.
 
 Defined results: null texts have no tokens and are not chosen; documents of null sources or of sources without a target
-take no part; a target without documents is reported with nothing reached; an empty corpus gives no rows; repeated
-documents under different ids are different documents; a negative or null weight counts as zero.
+take no part; a null level counts as the empty one; a target without documents is reported with nothing reached; an empty
+corpus gives no rows; repeated documents under different ids are different documents; a negative or null weight counts as
+zero; of repeated targets of a source the largest counts.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,8 @@ from proofmill.runtime import cut_lineage, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level vocabulary.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_LEAVES, BUCKETS = 50_000, 4096
+LEAVES_SENT, BUCKET_DOCS = 50_000, 4096
+LEVELS = ("doc_kind", "language", "source")
 
 
 def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
@@ -40,11 +44,13 @@ def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], tokenize
     columns = [key, *keep]
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
 
+    with open(tokenizer, "rb") as f:  # a vocabulary of some MB, read here and sent, so that executors need no copy
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encode = tiktoken.Encoding(os.path.basename(tokenizer), pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             tokens = [len(encode(t)) for t in batch.column(len(columns)).to_pylist()]
@@ -53,92 +59,79 @@ def token_counts(docs: DataFrame, key: str, text: str, keep: list[str], tokenize
     return docs.select(*columns, F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull()).mapInArrow(count, f"{fields}, tokens bigint")
 
 
-def share_out(budget: float, weights: list[float], capacity: list[float]) -> list[float]:
-    """Budget over siblings by weight, none above its capacity; what one cannot take goes to the others by weight."""
-    got, open_ = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
-    left = min(budget, sum(capacity[i] for i in open_))
-    while open_ and left > 1e-9:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total >= capacity[i] - 1e-9]
-        if not full:
-            for i in open_:
-                got[i] = left * weights[i] / total
-            break
-        for i in full:
-            got[i] = capacity[i]
-        left -= sum(capacity[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return got
-
-
-def leaf_budgets(leaves: list[tuple[tuple, int]], targets: dict, repeats: dict, total: float) -> dict[tuple, float]:
-    """Tokens for each leaf path (source first): targets at the first level, sizes below it."""
-
-    def capacity(group: list[tuple[tuple, int]]) -> float:
-        return float(sum(n * repeats.get(path[0], 0) for path, n in group))
-
-    def down(group: list[tuple[tuple, int]], depth: int, budget: float) -> dict[tuple, float]:
-        if depth == len(group[0][0]):
-            return {group[0][0]: budget}
-        parts: dict = {}
-        for path, n in group:
-            parts.setdefault(path[depth], []).append((path, n))
-        names = list(parts)
-        weights = [float(targets.get(x) or 0) if depth == 0 else float(sum(n for _, n in parts[x])) for x in names]
-        out: dict[tuple, float] = {}
-        for x, b in zip(names, share_out(budget, weights, [capacity(parts[x]) for x in names])):
-            if b > 0:
-                out |= down(parts[x], depth + 1, b)
-        return out
-
-    return down(leaves, 0, total) if leaves else {}
-
-
-def mix(docs: DataFrame, key: str, text: str, targets: DataFrame, levels: tuple[str, ...] = ("source", "language", "doc_kind"), total: int | None = None, seed: int = 17, tokenizer: str = TOKENIZER) -> DataFrame:
-    """key, source, tokens, repeats of every chosen document.  total: tokens of the mixture; by default the tokens of one
-    use of every document that takes part.  `language` may be a level where the documents have a `lang` label."""
-    spark = docs.sparkSession
-    wanted = targets.select("source", F.greatest(F.col("target_share"), F.lit(0.0)).alias("share"), F.greatest(F.col("max_repeats"), F.lit(0)).alias("max_repeats"))
-    goal = {r["source"]: (r["share"] or 0.0, r["max_repeats"] or 0) for r in wanted.limit(MAX_LEAVES).collect()}  # a configuration table, one row per source
-    if "language" in levels:
-        docs = docs.withColumn("language", F.coalesce(label_code(F.col("lang")), F.lit("")))
-    docs = docs.where(F.col("source").isin(list(goal))).select(key, *levels, text)
-    sized = cut_lineage(token_counts(spread(docs), key, text, list(levels), tokenizer).where("tokens > 0"))
-    depth = len(levels)
-    while True:
-        by = list(levels[:depth])
-        sizes = sized.groupBy(*by).agg(F.sum("tokens").alias("n"))
-        rows = sizes.limit(MAX_LEAVES + 1).collect()
-        if len(rows) <= MAX_LEAVES or depth == 1:
-            break
-        depth -= 1
-    leaves = [(tuple(r[c] for c in by), r["n"]) for r in sorted(rows, key=lambda r: tuple(str(x) for x in r))]
-    total = sum(n for _, n in leaves) if total is None else total
-    budgets = leaf_budgets(leaves, {s: w for s, (w, _) in goal.items()}, {s: m for s, (_, m) in goal.items()}, float(total))
-    plan = []
-    for path, n in leaves:
-        b = int(budgets.get(path, 0.0) + 1e-6)
-        if b > 0:
-            whole = min(b // n, goal[path[0]][1])
-            plan.append((*path, int(whole), int(b - whole * n) if whole < goal[path[0]][1] else 0))
-    kinds = ", ".join(f"p_{c} {sized.schema[c].dataType.simpleString()}" for c in by)
-    plan_df = spark.createDataFrame(plan, f"{kinds}, whole bigint, rest bigint")
-    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in by]
-    placed = sized.join(F.broadcast(plan_df), same).drop(*by[1:])  # at most MAX_LEAVES rows
-    leaf = F.xxhash64(*[F.coalesce(F.col(f"p_{c}").cast("string"), F.lit("")) for c in by], F.lit(3))
-    placed = placed.withColumn("leaf", leaf).withColumn("place", F.xxhash64(F.lit(seed), F.col("whole"), key)).withColumn("bucket", F.pmod(F.shiftright("place", 40), F.lit(BUCKETS)).cast("int"))
+def share_out(nodes: DataFrame, parent: list[str], budgets: DataFrame) -> DataFrame:
+    """nodes, budget: each parent's budget over its children by `weight`, none above its `capacity`; what a full child cannot
+    take goes to its siblings by weight.
+
+    Children are taken in the order in which they fill up (capacity per weight); before each of them the running sums tell
+    what is left per weight, and the first that does not fill up sets the level of all that follow.
+    """
+    group = Window.partitionBy(*parent)
+    order = group.orderBy(F.col("capacity") / F.col("weight"), *[c for c in nodes.columns if c not in ("weight", "capacity")])
+    open_ = nodes.where("weight > 0 and capacity > 0").join(budgets, parent)
+    left = F.least("budget", F.sum("capacity").over(group)) - (F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("capacity"))
+    levelled = open_.withColumn("level", left / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    filled = levelled.withColumn("full", F.col("level") * F.col("weight") >= F.col("capacity") * (1 - 1e-12))
+    common = F.max(F.when(~F.col("full"), F.col("level"))).over(group)
+    return filled.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(common * F.col("weight"))).drop("level", "full")
+
+
+def leaf_budgets(leaves: DataFrame, levels: list[str], total: float, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """levels, budget of each leaf (levels, weight, capacity) that gets any, handed down from the root level by level."""
+    budgets = leaves.sparkSession.range(1).select(F.lit(0).alias("__root"), F.lit(float(total)).alias("budget"))
+    for depth, name in enumerate(levels):
+        path = ["__root", *levels[: depth + 1]]
+        nodes = leaves.withColumn("__root", F.lit(0)).groupBy(*path).agg(F.sum("weight").alias("weight"), F.sum("capacity").alias("capacity"))
+        if own := (weights or {}).get(name):
+            table = F.create_map(*[F.lit(x) for pair in own.items() for x in (pair[0], float(pair[1]))])
+            nodes = nodes.withColumn("weight", F.coalesce(F.element_at(table, F.col(name)), F.lit(0.0)))
+        budgets = share_out(nodes, path[:-1], budgets).select(*path, "budget")
+    return budgets.drop("__root")
+
+
+def mix(
+    docs: DataFrame, key: str, text: str, targets: DataFrame, levels: tuple[str, ...] = LEVELS, total: int | None = None, seed: int = 17,
+    weights: Mapping[str, Mapping[str, float]] | None = None, tokenizer: str = TOKENIZER,
+) -> DataFrame:
+    """key, source, tokens, repeats of every chosen document.
+
+    levels: the tree from the root down, `source` among them; `language` may be one where the documents have a `lang` label.
+    total: tokens of the mixture; by default the tokens of one use of every document that takes part.
+    weights: level -> value -> weight, for levels that are to have targets of their own.
+    """
+    by = list(levels)
+    goal = targets.where("source is not null").groupBy("source").agg(F.greatest(F.max("target_share"), F.lit(0.0)).alias("share"), F.greatest(F.max("max_repeats"), F.lit(0)).alias("cap"))
+    if "language" in by:
+        docs = docs.withColumn("language", label_code(F.col("lang")))
+    docs = docs.where(F.col("source").isNotNull()).select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by], text)
+    sized = cut_lineage(token_counts(spread(docs.join(_sent(goal.select("source"), goal), "source", "left_semi").select(docs.columns)), key, text, by, tokenizer).where("tokens > 0"))
+    sizes = sized.groupBy(*by).agg(F.sum("tokens").alias("n"), F.count("*").alias("n_docs"))
+    of_source = Window.partitionBy("source")
+    leaves = sizes.join(goal, "source").withColumn("weight", F.col("share") * F.col("n") / F.sum("n").over(of_source)).withColumn("capacity", F.col("n").cast("double") * F.col("cap"))
+    leaves = cut_lineage(leaves)
+    if total is None:
+        total = leaves.agg(F.sum("n")).first()[0] or 0
+    budgets = leaf_budgets(leaves.select(*by, "weight", "capacity"), by, total, weights).withColumn("b", F.floor(F.col("budget") + 1e-6))
+    whole = F.least(F.floor(F.col("b") / F.col("n")), F.col("cap"))
+    plan = leaves.join(budgets.where("b > 0").select(*by, "b"), by).withColumn("whole", whole.cast("bigint"))
+    plan = plan.select(*by, "whole", F.when(F.col("whole") < F.col("cap"), F.col("b") - F.col("whole") * F.col("n")).otherwise(0).alias("rest"), F.ceil(F.col("n_docs") / BUCKET_DOCS).cast("bigint").alias("n_buckets"))
+    plan = cut_lineage(plan)
+    placed = sized.join(_sent(plan, plan), by).withColumn("place", F.xxhash64(F.lit(seed), F.col("whole"), key)).withColumn("bucket", F.pmod("place", "n_buckets"))
     # Token-prefix of one more epoch: bucket sums, then the order inside the one bucket where the budget ends.
-    sums = placed.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("in_bucket"), F.max("rest").alias("leaf_rest"))
-    upto = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("leaf").orderBy("bucket")) - F.col("in_bucket"))
-    inside = upto.withColumn("side", F.when(F.col("before") + F.col("in_bucket") <= F.col("leaf_rest"), 1).when(F.col("before") < F.col("leaf_rest"), 0).otherwise(-1))
-    edges = inside.where("side = 0").select("leaf", "bucket", "before")  # one per leaf, as are the rows of taken
-    taken = inside.where("side = 1").groupBy("leaf").agg(F.max("bucket").alias("last_full"))
-    marked = placed.join(F.broadcast(edges), ["leaf", "bucket"], "left").join(F.broadcast(taken), "leaf", "left")
-    run = F.sum("tokens").over(Window.partitionBy("leaf", "bucket").orderBy("place", key).rowsBetween(Window.unboundedPreceding, 0))
-    at_edge = marked.where("before is not null").withColumn("one_more", (F.col("before") + run <= F.col("rest")).cast("int"))
-    off_edge = marked.where("before is null").withColumn("one_more", (F.col("bucket") <= F.coalesce("last_full", F.lit(-1))).cast("int"))
+    sums = placed.where("rest > 0").groupBy(*by, "bucket").agg(F.sum("tokens").alias("in_bucket"), F.max("rest").alias("leaf_rest"))
+    upto = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("in_bucket"))
+    last = upto.where("before < leaf_rest").groupBy(*by).agg(F.max(F.struct("bucket", "before")).alias("last")).select(*by, F.col("last.bucket").alias("edge"), "last.before")
+    marked = placed.join(_sent(last, plan), by, "left")
+    run = F.sum("tokens").over(Window.partitionBy(*by, "bucket").orderBy("place", key).rowsBetween(Window.unboundedPreceding, 0))
+    at_edge = marked.where("bucket = edge").withColumn("one_more", (F.col("before") + run <= F.col("rest")).cast("int"))
+    off_edge = marked.where("edge is null or bucket <> edge").withColumn("one_more", F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0)))
     chosen = off_edge.unionByName(at_edge).withColumn("repeats", F.col("whole") + F.col("one_more"))
-    return chosen.where("repeats > 0").select(key, F.col("p_source").alias("source"), "tokens", F.col("repeats").cast("int").alias("repeats"))
+    return chosen.where("repeats > 0").select(key, "source", "tokens", F.col("repeats").cast("int").alias("repeats"))
+
+
+def _sent(small: DataFrame, counted: DataFrame) -> DataFrame:
+    """`small`, which has no more rows than `counted`, marked for sending to every executor if those are few enough."""
+    return F.broadcast(small) if counted.limit(LEAVES_SENT + 1).count() <= LEAVES_SENT else small
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

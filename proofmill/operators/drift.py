@@ -7,8 +7,8 @@ of the same template the fields left over are paired by a maximum-weight biparti
 are renames.
 
 Sizes: a sketch has at most SKETCH entries, a file at most its number of headers; rows are only ever pre-aggregated
-per (file, header).  Template order is found in two steps (within a month, then between months) so that no single task
-sorts all the files of a dominant template.
+per (file, header), once, and all else is derived from that table.  Template order is found in two steps (within a day,
+then between days) so that no single task sorts all the files of a dominant template.
 
 Defined results: a payload that is null, malformed or no object has no fields; headers that differ only in letter case,
 blanks or punctuation are one field; a field present only with nulls is present but has no kind, hence no retyping;
@@ -38,7 +38,7 @@ def name_key(header: Column) -> Column:
     return F.regexp_replace(F.lower(header), r"[^\p{L}\p{N}]", "")
 
 
-def _words(text: Column) -> Column:
+def _words(text: str | Column) -> Column:
     """Letters-only words of a value; names inside objects, numbers and truth values say nothing about the meaning."""
     plain = F.regexp_replace(F.lower(text), r'"[\w ]+"\s*:|\btrue\b|\bfalse\b', " ")
     return F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: F.length(w) > 0)
@@ -56,21 +56,27 @@ def cells(raw: DataFrame) -> DataFrame:
     return fields.select("raw_id", "file_id", "header", name_key(F.col("header")).alias("name"), kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
 
 
-def _sketch(rows: DataFrame, by: list[str], text: str) -> DataFrame:
-    """by, sketch: map of word bucket -> count."""
-    buckets = rows.select(*by, F.explode(_words(F.col(text))).alias("w")).select(*by, F.pmod(F.xxhash64("w"), F.lit(SKETCH)).cast("int").alias("b"))
-    return buckets.groupBy(*by, "b").agg(F.count("*").alias("n"))
+def _buckets(text: str | Column) -> Column:
+    return F.transform(_words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(SKETCH)).cast("int"))
 
 
-def header_targets(cells_: DataFrame, checklist: DataFrame, sketch: DataFrame) -> DataFrame:
+def profiles(cells_: DataFrame) -> DataFrame:
+    """file_id, name, b, kind, n, header: counts of each header's kinds (b null) and of its word buckets (kind null)."""
+    none = F.array(F.lit(None).cast("int"))
+    each = cells_.select("file_id", "name", "kind", "header", F.explode(F.concat(none, F.coalesce(_buckets("value"), F.array().cast("array<int>")))).alias("b"))
+    by = ["file_id", "name", "b", F.when(F.col("b").isNull(), F.col("kind")).alias("kind")]
+    return cut_lineage(each.groupBy(*by).agg(F.count("*").alias("n"), F.min("header").alias("header")))
+
+
+def header_targets(profiles_: DataFrame, checklist: DataFrame) -> DataFrame:
     """name, target (null for a field the target table lacks): each header's column by sketch and name."""
-    names = cells_.select("name").distinct()
+    names = profiles_.select("name").distinct()
     want = F.array([F.struct(F.lit(t).alias("target"), F.lit(t.replace("_", "")).alias("target_name")) for t in TARGETS])
     pairs = names.select("name", F.explode(want).alias("t")).select("name", "t.*")
     wide = checklist.select(F.explode(F.array([F.struct(F.lit(t).alias("target"), F.col(t).cast("string").alias("value")) for t in TARGETS])).alias("c")).select("c.*")
-    per_name = sketch.groupBy("name", "b").agg(F.sum("n").cast("double").alias("n"))
+    per_name = profiles_.where("b is not null").groupBy("name", "b").agg(F.sum("n").cast("double").alias("n"))
     own = per_name.join(F.broadcast(pairs.where("name = target_name").select("name", "target")), "name")  # at most as many rows as targets
-    model = own.select("target", "b", "n").unionByName(_sketch(wide, ["target"], "value").select("target", "b", F.col("n").cast("double").alias("n")))
+    model = own.select("target", "b", "n").unionByName(wide.select("target", F.explode(_buckets("value")).alias("b")).groupBy("target", "b").agg(F.count("*").cast("double").alias("n")))
     model = model.withColumn("n", F.col("n") / F.sum("n").over(Window.partitionBy("target"))).groupBy("target", "b").agg(F.sum("n").alias("m"))
     norm = per_name.groupBy("name").agg(F.sqrt(F.sum(F.col("n") ** 2)).alias("norm"))
     model_norm = model.groupBy("target").agg(F.sqrt(F.sum(F.col("m") ** 2)).alias("model_norm"))
@@ -86,11 +92,11 @@ def header_targets(cells_: DataFrame, checklist: DataFrame, sketch: DataFrame) -
 
 def _before(files: DataFrame) -> DataFrame:
     """file_id, prev_id: the file before it of its template (null for the first)."""
-    f = files.select("file_id", "template_id", "exported_at", F.trunc("exported_at", "month").alias("month"))
-    inside = f.withColumn("prev_id", F.lag("file_id").over(Window.partitionBy("template_id", "month").orderBy("exported_at", "file_id")))
-    ends = f.groupBy("template_id", "month").agg(F.max_by("file_id", F.struct("exported_at", "file_id")).alias("last_id"))
-    ends = ends.withColumn("before", F.lag("last_id").over(Window.partitionBy("template_id").orderBy("month"))).drop("last_id")
-    return inside.join(ends, ["template_id", "month"]).select("file_id", F.coalesce("prev_id", "before").alias("prev_id"))
+    f = files.select("file_id", "template_id", "exported_at", F.to_date("exported_at").alias("day"))
+    inside = f.withColumn("prev_id", F.lag("file_id").over(Window.partitionBy("template_id", "day").orderBy("exported_at", "file_id")))
+    ends = f.groupBy("template_id", "day").agg(F.max_by("file_id", F.struct("exported_at", "file_id")).alias("last_id"))
+    ends = ends.withColumn("before", F.lag("last_id").over(Window.partitionBy("template_id").orderBy("day"))).drop("last_id")
+    return inside.join(ends, ["template_id", "day"]).select("file_id", F.coalesce("prev_id", "before").alias("prev_id"))
 
 
 _FIELD = T.ArrayType(T.StructType([
@@ -196,18 +202,14 @@ def compare(old: list[dict], new: list[dict]) -> list[tuple[str, str, str | None
 
 def changes(files: DataFrame, raw: DataFrame, checklist: DataFrame) -> DataFrame:
     """file_id, field, change_kind, header_before, header_now: every change of a file against the one before."""
-    found = cells(spread(raw.select("raw_id", "file_id", "payload")))
-    sketch = cut_lineage(_sketch(found, ["file_id", "name"], "value"))
-    return _changes(files, found, sketch, header_targets(found, checklist, sketch))
+    counted = profiles(cells(spread(raw.select("raw_id", "file_id", "payload"))))
+    return _changes(files, counted, header_targets(counted, checklist))
 
 
-def _changes(files: DataFrame, found: DataFrame, sketch: DataFrame, target: DataFrame) -> DataFrame:
-    counted = found.groupBy("file_id", "name", "kind").agg(F.count("*").alias("n"), F.min("header").alias("header"))
-    kinds = counted.groupBy("file_id", "name").agg(
-        F.min("header").alias("header"), F.map_from_entries(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))).alias("kinds")
-    )
-    maps = sketch.groupBy("file_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("sketch"))
-    profile = kinds.join(maps, ["file_id", "name"], "left").join(target, "name")
+def _changes(files: DataFrame, counted: DataFrame, target: DataFrame) -> DataFrame:
+    entries = lambda when, k: F.map_from_entries(F.collect_list(F.when(when, F.struct(k, "n"))))
+    profile = counted.groupBy("file_id", "name").agg(F.min("header").alias("header"), entries(F.col("kind").isNotNull(), "kind").alias("kinds"), entries(F.col("b").isNotNull(), "b").alias("sketch"))
+    profile = profile.join(target, "name")
     per_file = profile.groupBy("file_id").agg(F.collect_list(F.struct("name", "header", "target", "kinds", "sketch")).alias("fields"))
     steps = _before(files).where(F.col("prev_id").isNotNull())
     new = per_file.withColumnRenamed("fields", "new")
@@ -265,9 +267,9 @@ def unified(files: DataFrame, raw: DataFrame, checklist: DataFrame) -> DataFrame
     are in other_fields under their own names; a name that is taken gets a number.
     """
     found = cells(spread(raw.select("raw_id", "file_id", "payload")))
-    sketch = cut_lineage(_sketch(found, ["file_id", "name"], "value"))
-    target = cut_lineage(header_targets(found, checklist, sketch))
-    one = _same_fields(files, _changes(files, found, sketch, target), target)
+    counted = profiles(found)
+    target = cut_lineage(header_targets(counted, checklist))
+    one = _same_fields(files, _changes(files, counted, target), target)
     typed = found.join(target, "name").join(files.select("file_id", "template_id"), "file_id").join(one, ["template_id", "name"], "left")
     typed = typed.select("raw_id", "name", F.coalesce("target", "to_target").alias("target"), F.coalesce("key", "name").alias("key"), "value")
     columns = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in TARGETS]

@@ -1,26 +1,31 @@
 """Several values packed in one field, split into one value per row with its place kept.
 
-Every distinct cell is parsed under every dialect that applies to it (a delimiter family, with or without quoting or
+Every distinct cell is parsed under every dialect that applies to it (delimiter families, with or without quoting or
 numbering, or "one value").  A parse costs the code lengths of its values plus a few bits for the dialect; the cheapest
-parse is the cell's.  Code lengths are learned over all cells: a value that stands in other distinct cells too costs
--log2 of its share of them, any other value is spelled out, delimiter marks being dear characters.
+parse is the cell's.  Code lengths are learned over all cells of a field: a value that stands in other distinct cells too
+costs -log2 of its share of them, any other value is spelled out, delimiter marks being dear characters.
+
+Sizes: rows of equal cells are parsed once; the joins on cell and on value have one row per key on one side, so the other,
+which may hold a hot key, is split by the adaptive skew join.  Page ranges are expanded in runs of CHUNK pages, so no array
+grows with a range.
 
 Defined results: null and blank cells, and cells of one value, give no row; empty places are no values but the places
 that follow are counted on without them; repeated rows each give their own values; texts of any length are parsed whole;
-ties between dialects go to the one with fewer values, then to the alphabetically first.
+ties between dialects go to the one with fewer values, then to the alphabetically first.  A page number has at most nine
+digits; a cell of which a piece is no page under any dialect is no list of pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.runtime import cut_lineage, spread
+from proofmill.runtime import cut_lineage
 
 #: Delimiter families.  An entity's closing mark (as in "&amp;") and a slash inside a word are no delimiters.
 FAMILIES = {
@@ -37,36 +42,41 @@ _BULLET = re.compile(r"^\s*(?:[•▪‣●*–-]\s+|[•▪‣●])")
 _NUMBER = re.compile(r"^\s*(?:\((\d{1,3})\)|(\d{1,3})[.)])\s+")
 _INLINE = re.compile(r"(?:^|(?<=\s))(?:\((\d{1,3})\)|(\d{1,3})[.)])\s+")
 _PLAIN_BITS, _MARK_BITS, _DIALECT_BITS, _NUMBER_BITS = 5.0, 12.0, 3.0, 1.0
-
-
-_ANY = re.compile("|".join([*FAMILIES.values(), ","]))
-
-
-def _pieces(text: str, delimiter: re.Pattern) -> list[str]:
-    """Split outside quotation marks; a mark opens a quotation only at the start or after a delimiter of any family."""
-    out, start, at, size = [], 0, 0, len(text)
-    fresh = True
-    while at < size:
-        c = text[at]
-        if fresh and c in _QUOTES:
-            end = _quote_end(text, at)
-            if end > 0:
-                at, fresh = end, False
-                continue
-        m = delimiter.match(text, at)
-        if m and m.end() > at:
-            out.append(text[start:at])
-            start = at = m.end()
-            fresh = True
-            continue
-        if (other := _ANY.match(text, at)) and other.end() > at:
-            fresh, at = True, other.end()
-            continue
-        if not c.isspace():
-            fresh = False
-        at += 1
-    out.append(text[start:])
-    return out
+#: Pages of a range that are expanded at once.
+CHUNK = 10_000
+
+
+_DELIMITER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in [*FAMILIES.items(), ("comma", ",")]))
+_FIRST = re.compile(r"[^\S\r\n\t]*(\S)")
+
+
+def _tokens(text: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """Texts and the delimiters (family, mark) between them, outside quotations; a quotation opens only at the start or after a delimiter."""
+    texts, marks, start, at = [], [], 0, 0
+    while True:
+        opening = _FIRST.match(text, at)
+        if opening and opening[1] in _QUOTES and (end := _quote_end(text, opening.start(1))) > 0:
+            at = end
+        m = _DELIMITER.search(text, at)
+        if m is None:
+            texts.append(text[start:])
+            return texts, marks
+        texts.append(text[start : m.start()])
+        marks.append((m.lastgroup, m[0]))
+        start = at = m.end()
+
+
+def _pieces(tokens: tuple[list[str], list[tuple[str, str]]], families: Collection[str]) -> list[str]:
+    """The cell split at the marks of the given families; others are text."""
+    texts, marks = tokens
+    out, piece = [], [texts[0]]
+    for (family, mark), text in zip(marks, texts[1:]):
+        if family in families:
+            out.append("".join(piece))
+            piece = [text]
+        else:
+            piece += (mark, text)
+    return [*out, "".join(piece)]
 
 
 def _quote_end(text: str, at: int) -> int:
@@ -113,9 +123,9 @@ def _numbered(text: str) -> list[str] | None:
     return [text[b : cuts[i + 1][0] if i + 1 < len(cuts) else len(text)] for i, (_, b) in enumerate(cuts)]
 
 
-def _comma_quoted(text: str) -> list[str] | None:
+def _comma_quoted(tokens: tuple[list[str], list[tuple[str, str]]]) -> list[str] | None:
     """Values of a comma list of which every non-empty value is quoted; commas between unquoted words do not part."""
-    pieces = _pieces(text, re.compile(","))
+    pieces = _pieces(tokens, ("comma",))
     full = [p.strip() for p in pieces if p.strip()]
     if len(full) > 1 and all(p[0] in _QUOTES and _quote_end(p, 0) == len(p) for p in full):
         return pieces
@@ -124,14 +134,14 @@ def _comma_quoted(text: str) -> list[str] | None:
 
 def parses(text: str) -> dict[str, list[str]]:
     """Dialect -> values (two or more) of the cell; "one" -> the cell as a single value."""
-    found = {"one": [_clean(text)]}
-    if pieces := _comma_quoted(text):
+    found, tokens = {"one": [_clean(text)]}, _tokens(text)
+    if pieces := _comma_quoted(tokens):
         found["comma"] = [v for p in pieces if (v := _clean(p))]
-    present = [name for name, pattern in FAMILIES.items() if len(_pieces(text, re.compile(pattern))) > 1]
+    seen = {family for family, _ in tokens[1]}
+    present = [name for name in FAMILIES if name in seen]
     for size in range(1, len(present) + 1):  # a cell may mix families; there are seven at most
         for names in combinations(present, size):
-            delimiter = re.compile("|".join(FAMILIES[n] for n in names))
-            values = [v for p in _strip_marks(_pieces(text, delimiter)) if (v := _clean(p))]
+            values = [v for p in _strip_marks(_pieces(tokens, names)) if (v := _clean(p))]
             if len(values) > 1:
                 found["+".join(names)] = values
     if pieces := _numbered(text):
@@ -149,98 +159,147 @@ def _spelled(value: str, quoted: bool) -> float:
     return _PLAIN_BITS * (len(value) + 1) + marks * _MARK_BITS
 
 
-def split_cells(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, item: the values of every cell that holds two or more."""
-    spark = df.sparkSession
+#: Delimiter families of page cells.
+PAGE_FAMILIES = {
+    "line": r"\r\n|\r|\n", "tab": r"\t", "semicolon": "[;；]", "pipe": "[|｜]", "slash": "/", "comma": "[,，、]", "sign": "[&+＆＋]",
+    "word": r"(?<=[\s\d)])(?:and|und|et|y|e|en|i|и|och|og)(?=\s)", "blank": r"[^\S\r\n\t]+",
+}
+_PAGE_MARK = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PAGE_FAMILIES.items()), re.I)
+_PAGE_WORD = r"(?:(?:pages?|pgs?|pp?|seiten?|s|str(?:on[ay]?)?|стр|с|página|páginas|pagina|pagine|pág|pag|blz)\.?\s*)?"
+_TO = r"(?:[-‐‑‒–—−]|to|bis|through|à|a|al|t/m|tot|do|до|по)"
+_PAGE = re.compile(rf"\s*{_PAGE_WORD}(\d{{1,9}})(?!\d)(?:\s*{_TO}\s*{_PAGE_WORD}(\d{{1,9}})(?!\d))?\s*", re.I)
+_ASIDE = re.compile(r"\([^()]*\)")
+#: What may stand in a page cell at all; everything else is no list of pages.
+_PAGE_CELL = re.compile(rf"(?:[\s\d,;/|&+，；、｜＆＋.]|[-‐‑‒–—−]|[^\W\d_]+|/)*")
+
+
+def page_runs(text: str | None) -> dict[str, list[tuple[int, int]]]:
+    """Dialect -> first and last page of each place of a page cell, for every dialect under which all its pieces are pages."""
+    if not text:
+        return {}
+    bare = text.translate({ord(c): " " for c in "\"“”„«»"})
+    while (less := _ASIDE.sub(" ", bare)) != bare:  # remarks in brackets, such as (back), are no pages
+        bare = less
+    if not re.search(r"\d", bare) or not _PAGE_CELL.fullmatch(bare):
+        return {}
+    texts, marks, at = [], [], 0
+    for m in _PAGE_MARK.finditer(bare):
+        texts.append(bare[at : m.start()]), marks.append((m.lastgroup, m[0]))
+        at = m.end()
+    texts.append(bare[at:])
+    seen = {family for family, _ in marks}
+    present, out = [name for name in PAGE_FAMILIES if name in seen], {}
+    for size in range(len(present) + 1):
+        for names in combinations(present, size):
+            runs = []
+            for piece in _pieces((texts, marks), names):
+                if not piece.strip():
+                    continue
+                if not (m := _PAGE.fullmatch(piece)):
+                    break
+                runs.append((int(m[1]), int(m[2] or m[1])))
+            else:
+                if sum(abs(b - a) + 1 for a, b in runs) > 1:
+                    out["+".join(names) or "one"] = runs
+    return out
+
+
+def _page_parses(text: str) -> dict[str, list[str]]:
+    return {dialect: [f"{a}-{b}" if a != b else str(a) for a, b in runs] for dialect, runs in page_runs(text).items()}
+
+
+def _candidates(field: str, cell: str) -> tuple[dict[str, list[str]], bool]:
+    """The parses of a cell, and whether the whole of it is quoted."""
+    if field == "pages":
+        return _page_parses(cell), True
+    stripped = cell.strip()
+    return parses(cell), stripped[0] in _QUOTES and _quote_end(stripped, 0) == len(stripped)
+
+
+def _cheapest(cells: DataFrame) -> DataFrame:
+    """field, cell, items of the cheapest parse of every distinct cell (field, cell) that gives several values."""
+    spark = cells.sparkSession
     slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Dealt anew, as parsing is dear and what is left of the rows may fit into one partition.
-    cells = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("cell")).distinct().repartition(slots)
+    cells = cells.distinct().repartition(slots)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells_, dialects, items, spelled = [], [], [], []
-            for cell in batch.column(0).to_pylist():
-                found = parses(cell)
-                stripped = cell.strip()
-                quoted = stripped[0] in _QUOTES and _quote_end(stripped, 0) == len(stripped)
+            out: list[tuple] = []
+            for field, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, quoted = _candidates(field, cell)
                 for dialect, values in found.items():
-                    cells_.append(cell), dialects.append(dialect), items.append(values)
-                    spelled.append([_spelled(v, dialect != "one" or quoted) for v in values])
-            yield pa.RecordBatch.from_arrays([pa.array(cells_, pa.string()), pa.array(dialects, pa.string()), pa.array(items, pa.list_(pa.string())), pa.array(spelled, pa.list_(pa.float64()))], names=["cell", "dialect", "items", "spelled"])
-
-    parsed = cells.mapInArrow(candidates, "cell string, dialect string, items array<string>, spelled array<double>")
-    parsed = cut_lineage(parsed.withColumn("cell_id", F.xxhash64("cell", F.lit(7))))
-    parsed = parsed.withColumn("rivals", F.size("items"))
+                    out.append((field, cell, dialect, len(found), values, [_spelled(v, dialect != "one" or quoted) for v in values]))
+            cols = list(zip(*out)) or [[]] * 6
+            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["field", "cell", "dialect", "rivals", "items", "spelled"])
+
+    parsed = cells.mapInArrow(candidates, "field string, cell string, dialect string, rivals int, items array<string>, spelled array<double>")
+    parsed = cut_lineage(parsed.withColumn("cell_id", F.xxhash64("field", "cell", F.lit(7))))
+    whole = F.col("dialect") == "one"
+    several = F.col("rivals") > 1
     # A whole cell that could also be split says nothing about itself; every other value speaks once per distinct cell.
-    several = parsed.where(F.col("dialect") != "one").select("cell_id").distinct()
-    evidence = (
-        parsed.where(F.col("dialect") != "one")
-        .unionByName(parsed.where(F.col("dialect") == "one").join(several, "cell_id", "left_anti"))
-        .select("cell_id", F.explode(F.array_distinct("items")).alias("item")).distinct()
-        .groupBy("item").agg(F.count("*").alias("seen"))
-    )
-    total = several.count() + 1000.0
-    open_cells = parsed.join(several, "cell_id", "left_semi")
-    values = open_cells.select("cell_id", "dialect", F.posexplode(F.arrays_zip("items", "spelled")).alias("pos", "v")).select("cell_id", "dialect", F.col("v.items").alias("item"), F.col("v.spelled").alias("spelled"))
+    evidence = parsed.where(~whole | ~several).select("field", "cell_id", F.explode(F.array_distinct("items")).alias("item")).distinct().groupBy("field", "item").agg(F.count("*").alias("seen"))
+    totals = {r[0]: r[1] for r in parsed.where(several).groupBy("field").agg(F.countDistinct("cell_id")).collect()}  # a row per field
+    total = F.element_at(F.create_map(*[F.lit(x) for f in ("wordings", "pages") for x in (f, totals.get(f, 0) + 1000.0)]), F.col("field"))
+    open_cells = parsed.where(several)
+    values = open_cells.select("field", "cell_id", "dialect", F.explode(F.arrays_zip("items", "spelled")).alias("v")).select("field", "cell_id", "dialect", F.col("v.items").alias("item"), F.col("v.spelled").alias("spelled"))
     known = evidence.where("seen > 1")
     # Its own cell does not count as evidence for a value.
-    bits = F.least(F.col("spelled"), F.coalesce(-F.log2((F.col("seen") - F.when(F.col("dialect") == "one", 0).otherwise(1)) / total), F.col("spelled")))
+    bits = F.least(F.col("spelled"), F.coalesce(-F.log2((F.col("seen") - F.when(whole, 0).otherwise(1)) / total), F.col("spelled")))
     cost = (
-        values.join(known, "item", "left")
-        .groupBy("cell_id", "dialect").agg((F.sum(bits + F.lit(_NUMBER_BITS)) + F.when(F.col("dialect") == "one", 0.0).otherwise(_DIALECT_BITS * F.size(F.split("dialect", r"\+")))).alias("bits"), F.count("*").alias("n_values"))
+        values.join(known, ["field", "item"], "left")
+        .groupBy("cell_id", "dialect").agg((F.sum(bits + F.lit(_NUMBER_BITS)) + F.when(whole, 0.0).otherwise(_DIALECT_BITS * F.size(F.split("dialect", r"\+")))).alias("bits"), F.count("*").alias("n_values"))
     )
     best = cost.groupBy("cell_id").agg(F.min_by("dialect", F.struct(F.round("bits", 6), "n_values", "dialect")).alias("dialect"))
-    chosen = open_cells.join(best.where("dialect != 'one'"), ["cell_id", "dialect"]).select("cell", "items")
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("cell"))
-    return rows.join(chosen, "cell").select("key", F.posexplode("items").alias("pos", "item")).select("key", (F.col("pos") + 1).alias("pos"), "item")
+    chosen = open_cells.join(best, ["cell_id", "dialect"]).select("field", "cell", "dialect", "items")
+    chosen = chosen.unionByName(parsed.where(~several).select("field", "cell", "dialect", "items"))
+    return chosen.where((F.col("dialect") != "one") | (F.col("field") == "pages")).select("field", "cell", "items")
 
 
-_PAGE = r"(?:(?:pages?|pgs?|pp?|seiten?|s)\.?\s*)?(\d{1,9})(?:\s*[-‐‑‒–—−]\s*(?:p\.?\s*)?(\d{1,9}))?"
-_PAGE_GAP = r"(?:[\s,;/|+&，；]|\band\b|\bund\b)"
-_PAGE_CELL = re.compile(rf"(?i)\s*{_PAGE}(?:{_PAGE_GAP}+{_PAGE})*{_PAGE_GAP}*$")
-_PAGE_ONE = re.compile(rf"(?i){_PAGE}")
+def _rows(df: DataFrame, field: str, key: str, text: str) -> DataFrame:
+    stated = F.col(text).rlike("[0-9]" if field == "pages" else r"\S")
+    return df.where(stated).select(F.lit(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("cell"))
 
 
-def page_runs(text: str | None) -> list[tuple[int, int]] | None:
-    """First and last page of each place of a page cell; None where the cell is no list of pages."""
-    if not text:
-        return None
-    bare = text.replace('"', " ").replace("“", " ").replace("”", " ")
-    if not re.search(r"\d", bare) or not _PAGE_CELL.match(bare):
-        return None
-    return [(int(m[1]), int(m[2] or m[1])) for m in _PAGE_ONE.finditer(bare)]
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """field, key, items of all rows (field, key, cell) whose cell holds several values."""
+    return rows.join(_cheapest(rows.select("field", "cell")), ["field", "cell"]).select("field", "key", "items")
 
 
-def split_pages(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, item (page number in digits) of every page cell that gives two or more pages.
+def _listed(rows: DataFrame) -> DataFrame:
+    """key, pos, item of every value."""
+    return rows.select("key", F.posexplode("items").alias("pos", "item")).select("key", (F.col("pos") + 1).cast("bigint").alias("pos"), "item")
 
-    Every value of such a cell is a number or a range, so all dialects that read it at all read the same pages: the
-    grammar of the cheapest one is applied directly.  A range gives its pages in order (downwards if written so);
-    repeats stay.  Blank cells, "all pages" and other words are no lists.
-    """
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list | None] = {}
-        for batch in batches:
-            keys, runs = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[t] = page_runs(t)
-                if r := known[t]:
-                    keys.append(k), runs.append([{"a": a, "b": b} for a, b in r])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["key", "runs"])
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = spread(df.select(key, text).where(F.col(text).rlike("[0-9]"))).mapInArrow(parse, f"key {kind}, runs array<struct<a:bigint,b:bigint>>")
-    pages = F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"])))
-    rows = rows.select("key", pages.alias("pages")).where(F.size("pages") > 1)
-    return rows.select("key", F.posexplode("pages").alias("pos", "item")).select("key", (F.col("pos") + 1).alias("pos"), F.col("item").cast("string").alias("item"))
+def _paged(rows: DataFrame) -> DataFrame:
+    """key, pos, item of every page of every run, downwards where a run is written so; repeats stay."""
+    ends = F.transform("items", lambda r: F.struct(F.split(r, "-")[0].cast("bigint").alias("a"), F.element_at(F.split(r, "-"), -1).cast("bigint").alias("b")))
+    simple = ~F.exists("items", lambda r: r.contains("-"))
+    ranged = rows.where(~simple).select("key", F.posexplode(ends).alias("run", "r"), ends.alias("all")).select("key", "r.a", "r.b", "run", "all")
+    before = F.aggregate(F.slice("all", F.lit(1), F.col("run")), F.lit(0).cast("bigint"), lambda n, r: n + F.abs(r["b"] - r["a"]) + 1)
+    ranged = ranged.select("key", "a", "b", before.alias("before"))
+    size, way = F.abs(F.col("b") - F.col("a")) + 1, F.when(F.col("b") >= F.col("a"), 1).otherwise(-1)
+    chunks = ranged.select("key", "a", "before", way.alias("way"), size.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1, F.lit(CHUNK).cast("bigint"))).alias("from"))
+    each = chunks.select("key", "a", "before", "way", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("n")) - 1)).alias("i"))
+    pages = each.select("key", (F.col("before") + F.col("i") + 1).alias("pos"), (F.col("a") + F.col("way") * F.col("i")).cast("string").alias("item"))
+    return _listed(rows.where(simple)).unionByName(pages)
+
+
+def split_cells(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, item: the values of every cell that holds two or more."""
+    return _listed(_unpacked(_rows(df, "wordings", key, text)))
+
+
+def split_pages(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, item (page number in digits) of every page cell that gives two or more pages; blank cells, "all pages" and other words are no lists."""
+    return _paged(_unpacked(_rows(df, "pages", key, text)))
 
 
 def unpack(checklist: DataFrame, check_result: DataFrame) -> DataFrame:
     """table_name, row_id, pos, item of both packed fields."""
-    words = split_cells(checklist, "row_id", "symbol_exact_wording").withColumn("table_name", F.lit("checklist"))
-    pages = split_pages(check_result, "result_id", "pages").withColumn("table_name", F.lit("check_result"))
+    both = _rows(checklist, "wordings", "row_id", "symbol_exact_wording").unionByName(_rows(check_result, "pages", "result_id", "pages"))
+    found = _unpacked(both)
+    words = _listed(found.where("field = 'wordings'")).withColumn("table_name", F.lit("checklist"))
+    pages = _paged(found.where("field = 'pages'")).withColumn("table_name", F.lit("check_result"))
     return words.unionByName(pages).select("table_name", F.col("key").alias("row_id"), F.col("pos").cast("int").alias("pos"), "item")

@@ -25,27 +25,36 @@ VARIANT_MARKS = r"[/,•·∙・／]+"
 #: Phrases of origin, after which full stops part variants.
 ORIGIN = (
     r"(?i)\b(made\s+in|hecho\s+en|fabricad\w*\s+en|fabriqu\w*\s+en|prodotto\s+in|fabbricato\s+in|hergestellt\s+in|feito\s+(?:em|no|na)|gemaakt\s+in|"
-    r"tillverkad\s+i|valmistettu|fremstillet\s+i|produceret\s+i|produsert\s+i|vyroben[oaé]?|wyprodukowano\s+w|сделано\s+в|произведено\s+в)\b"
+    r"tillverkad\s+i|valmistettu|fremstillet\s+i|produceret\s+i|produsert\s+i|vyroben[oaé]?|wyprodukowano\s+w|gyártva|készült|сделано\s+в|произведено\s+в|κατασκευ|παράγ|üret|صنع\s+في|صناعة)\b"
 )
 #: Phrases of origin by language.
 ORIGIN_BY_LANGUAGE = {
-    "ENGLISH": ["made in"], "SPANISH": ["hecho en", "fabricado en"], "FRENCH": ["fabriqué en", "fabrique en"], "GERMAN": ["hergestellt in"],
-    "ITALIAN": ["prodotto in", "fabbricato in"], "DUTCH": ["gemaakt in", "vervaardigd in"], "SWEDISH": ["tillverkad i"], "FINNISH": ["valmistettu"],
-    "DANISH": ["fremstillet i", "produceret i"], "NORWEGIAN": ["produsert i", "fremstilt i"], "POLISH": ["wyprodukowano w"], "CZECH": ["vyrobeno v"],
-    "SLOVAK": ["vyrobené v"], "HUNGARIAN": ["gyártva", "készült"], "RUSSIAN": ["сделано в", "произведено в"],
+    "ENGLISH": ["made in"], "UK": ["made in"], "US": ["made in"], "SPANISH": ["hecho en", "fabricado en"], "LAAM SPANISH": ["hecho en", "fabricado en"], "CANADIAN FRENCH": ["fabriqué en", "fabriqué au"],
+    "FRENCH": ["fabriqué en", "fabrique en"], "PORTUGUESE": ["feito em", "feito na", "fabricado em", "fabricado na"], "BRAZILIAN PORTUGUESE": ["feito no", "feito na", "feito em", "fabricado no", "fabricado na", "fabricado em"],
+    "GERMAN": ["hergestellt in"], "ITALIAN": ["prodotto in", "fabbricato in"], "DUTCH": ["gemaakt in", "vervaardigd in"], "SWEDISH": ["tillverkad i"], "FINNISH": ["valmistettu"],
+    "DANISH": ["fremstillet i", "produceret i"], "NORWEGIAN": ["produsert i", "fremstilt i"], "POLISH": ["wyprodukowano w"], "CZECH": ["vyrobeno v"], "SLOVAK": ["vyrobené v"], "HUNGARIAN": ["gyártva", "készült"],
+    "RUSSIAN": ["сделано в", "произведено в"], "GREEK": ["κατασκευάζεται στην", "παράγεται στην"], "TURKISH": ["üretildiği", "üretim yeri", "ürün menşei"], "ARABIC": ["صنع في", "صناعة"],
 }
+#: Roots by which a bare phrase of origin is known.
+ORIGIN_ROOTS = [
+    "made", "hecho", "fabrique", "fabriqu", "prodotto", "fabbricato", "hergestellt", "gemaakt", "tillverkad", "valmistettu", "fremstillet", "produceret", "produsert", "wyprodukowano", "vyroben", "gyártva", "készült",
+    "сделано", "произведено", "κατασκευ", "παράγ", "üret", "صنع", "صناعة",
+]
+#: Words that carry no search.
+STOP = ["in", "en", "na", "de", "la", "el", "em", "da", "do", "di", "du", "of", "and", "y", "et", "the", "a", "an"]
 #: Words of a header row.
 HEADER_WORDS = ["requirement", "symbol", "wording", "specification", "language", "verification", "panel", "procedure", "remark"]
 #: Part codes, in order of preference.
 PART_CODES = ["UU1_DOM", "DOM", "UU1", "2LB", "2XV", "4LB", "19L", "19A", "21A", "DC1"]
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    """One of the words, as written, is part of the text."""
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
+    return holds_any(F.lower(text), words)
 
 
 def filled(checklist: DataFrame) -> DataFrame:
@@ -115,6 +124,12 @@ def origin_phrases(languages: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(table, lambda t: (F.size(named) == 0) | F.array_contains(named, t["k"])), lambda t: t["p"])))
 
 
+def bare_origin(variant_norm: Column) -> Column:
+    """A phrase of origin of at most two words that count, with no country behind it."""
+    words = F.filter(F.split(variant_norm, r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & ~w.isin(STOP))
+    return holds_any(variant_norm, ORIGIN_ROOTS) & (F.size(words) <= 2)
+
+
 def remark_languages(remark: Column, term: Column) -> Column:
     """Languages of the lines "wording = language" of a remark whose wording is part of the term."""
     lines = F.filter(F.split(F.coalesce(remark, F.lit("")), r"\r?\n"), lambda x: x.contains("="))

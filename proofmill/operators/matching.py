@@ -1,8 +1,11 @@
 """Matching of required wordings against the page items of their document.
 
-Both sides are reduced to distinct texts per document first.  The join key is the document and a salt: a document with
-many items is dealt over as many salts as it has blocks of BLOCK items, and only its own wordings are repeated that often,
-so a dominant document neither lands in one task nor multiplies the rest.
+A text can only carry a wording if it holds the wording's longest runs of letters, so both sides meet on the document and
+one run of three characters: the one of the wording's words that is rarest among all wordings.  Texts offer only runs that
+some wording asks for (a table of at most GRAMS rows, which is sent to the executors).  The work therefore grows with the
+texts and the true candidates, not with wordings times texts; the full ladder of predicates is applied to what meets.
+Wordings too short for a run, such as "3+", of which there are few different ones, meet all texts of their document, dealt
+over salts; nearly equal texts meet on the document and the length.
 """
 
 from __future__ import annotations
@@ -17,11 +20,13 @@ from pyspark.sql.window import Window
 from proofmill.functions import text as tx
 from proofmill.operators import checklists as cl
 from proofmill.operators import items as it
-from proofmill.runtime import spread
+from proofmill.runtime import cut_lineage, spread
 
 BLOCK = 2000
+#: Buckets of runs of three characters.
+GRAMS = 1 << 16
 #: Words that carry no search, words dropped, and short words kept.
-STOP = ["in", "en", "na", "de", "la", "el", "em", "da", "do", "di", "du", "of", "and", "y", "et", "the", "a", "an"]
+STOP = cl.STOP
 DROP = ["requirement", "address", "code"]
 KEEP = ["astm", "iso", "en71", "f963", "eu", "us", "uk", "br", "ca", "brazil", "canada", "canadian"]
 LEAST_RATIO = 0.96
@@ -39,17 +44,57 @@ def required(results: DataFrame, checklist: DataFrame) -> DataFrame:
     return wanted.join(spelled, "row_id").where("variant_norm != ''")
 
 
-def _blocks(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts with their salt, and the number of salts of each document (by its items, without reading texts)."""
-    salts = items.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_salts"))
-    rows = spread(items.select("doc_id", "page_no", "text", "source").where("text is not null"))
-    texts = rows.select("doc_id", "page_no", tx.normalize(F.col("text")).alias("text_norm"), F.coalesce("source", F.lit("pdf")).alias("source")).where("text_norm != ''").distinct()
-    texts = texts.join(salts, "doc_id").withColumn("salt", F.pmod(F.xxhash64("page_no", "text_norm"), F.col("n_salts").cast("bigint")).cast("int"))
-    return texts.drop("n_salts"), salts
+def distinct_texts(items: DataFrame) -> DataFrame:
+    """doc_id, page_no, text_norm, source: the different texts of each page, normalized once and written out."""
+    rows = spread(items.select("doc_id", "page_no", "text", "source").where("text is not null and doc_id is not null"))
+    texts = rows.select("doc_id", "page_no", tx.normalize(F.col("text")).alias("text_norm"), F.lower(F.coalesce("source", F.lit("pdf"))).alias("source"))
+    return spread(cut_lineage(texts.where("text_norm != ''").distinct()))
 
 
-def _salted(variants: DataFrame, salts: DataFrame) -> DataFrame:
-    return variants.join(salts, "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
+def _salted(variants: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: the texts of a document dealt over as many as it has blocks of BLOCK, its variants repeated."""
+    salts = texts.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_salts"))
+    dealt = texts.join(salts, "doc_id").withColumn("salt", F.pmod(F.xxhash64("page_no", "text_norm"), F.col("n_salts").cast("bigint")).cast("int")).drop("n_salts")
+    return variants.join(salts, "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts"), dealt
+
+
+def _runs(text: Column) -> Column:
+    """Buckets of all runs of three characters."""
+    return F.transform(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), 1), lambda r: F.pmod(F.xxhash64(r), F.lit(GRAMS)).cast("int"))
+
+
+def _spelled_out(wanted: DataFrame) -> DataFrame:
+    """wanted (a row per variant_norm and document) with the columns that the ladder reads."""
+    v = F.col("variant_norm")
+    age = F.regexp_extract(v, r"^\s*([0-9]{1,2})\s*\+\s*$", 1)
+    out = wanted.withColumn("words", search_words(v)).withColumn("age_no", F.when(age != "", age))
+    out = out.withColumn("age", F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), "age_no", F.lit(r"\s*\+($|[^\p{L}\p{N}_])")))
+    return out.withColumn("like", F.when(F.size("words") > 0, F.concat(F.lit("%"), F.array_join(F.transform("words", lambda w: F.replace(w, F.lit("_"), F.lit(r"\_"))), "%"), F.lit("%"))))
+
+
+def carriers(wanted: DataFrame, texts: DataFrame, match: Column) -> DataFrame:
+    """wanted x texts (doc_id, text_norm ...) where `match` holds; wanted is spelled out, and match implies that the text holds
+    all search words of the variant, or the variant itself where it has none."""
+    long = F.filter("words", lambda w: F.length(w) >= 3)
+    anchors = F.when(F.col("age_no").isNotNull(), F.array().cast("array<string>")).when(F.size("words") > 0, long).otherwise(F.array("variant_norm"))
+    runs = cut_lineage(wanted.withColumn("runs", F.array_distinct(F.flatten(F.transform(anchors, _runs)))))  # four uses
+    short = runs.where(F.size("runs") == 0)
+    counts = runs.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n"))  # at most GRAMS rows
+    each = runs.select("doc_id", "variant_norm", F.explode("runs").alias("run")).join(F.broadcast(counts), "run")
+    rarest = each.groupBy("doc_id", "variant_norm").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    asking = runs.drop("runs").join(rarest, ["doc_id", "variant_norm"])
+    asked = rarest.select("run").distinct()  # at most GRAMS rows
+    offers = texts.withColumn("run", F.explode(F.array_distinct(_runs(F.col("text_norm"))))).join(F.broadcast(asked), "run")
+    met = asking.join(offers, ["doc_id", "run"]).where(match).drop("run")
+    few, dealt = _salted(short.drop("runs"), texts)
+    return met.unionByName(few.join(dealt, ["doc_id", "salt"]).where(match).drop("salt"))
+
+
+def ladder() -> Column:
+    """Age form, substring, or words in order."""
+    text = F.col("text_norm")
+    first = F.coalesce(text.contains(F.get("words", F.lit(0))), F.lit(False))
+    return text.contains(F.col("variant_norm")) | F.coalesce(first & F.expr("text_norm like like"), F.lit(False)) | F.coalesce(F.expr("text_norm rlike age"), F.lit(False))
 
 
 def hits(need: DataFrame, items: DataFrame) -> DataFrame:
@@ -59,28 +104,23 @@ def hits(need: DataFrame, items: DataFrame) -> DataFrame:
 
 def hit_texts(need: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, variant_norm, page_no, text_norm: the texts that carry the variant."""
-    texts, salts = _blocks(items)
-    v = F.col("variant_norm")
-    distinct = need.select("doc_id", "variant_norm").distinct().withColumn("words", search_words(v))
-    age = F.regexp_extract(v, r"^\s*([0-9]{1,2})\s*\+\s*$", 1)
-    distinct = distinct.withColumn("age", F.when(age != "", F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), age, F.lit(r"\s*\+($|[^\p{L}\p{N}_])"))))
-    distinct = distinct.withColumn("like", F.when(F.size("words") > 0, F.concat(F.lit("%"), F.array_join(F.transform("words", lambda w: F.replace(w, F.lit("_"), F.lit(r"\_"))), "%"), F.lit("%"))))
-    text = F.col("text_norm")
-    first = F.coalesce(text.contains(F.get("words", F.lit(0))), F.lit(False))
-    match = text.contains(v) | F.coalesce(first & F.expr("text_norm like like"), F.lit(False)) | F.coalesce(F.expr("text_norm rlike age"), F.lit(False))
-    return _salted(distinct, salts).join(texts, ["doc_id", "salt"]).where(match).select("doc_id", "variant_norm", "page_no", "text_norm")
+    texts = distinct_texts(items).select("doc_id", "page_no", "text_norm").distinct()
+    wanted = _spelled_out(need.select("doc_id", "variant_norm").distinct())
+    return carriers(wanted, texts, ladder()).select("doc_id", "variant_norm", "page_no", "text_norm")
+
+
+def page_carriers(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, variant_norm, page_no: pages (doc_id, page_no, text_norm) whose whole text carries the variant's words in order (two words or more)."""
+    several = _spelled_out(wanted.select("doc_id", "variant_norm").distinct()).where("size(words) >= 2")
+    # The words anywhere come first: a pattern over a whole page is dear.
+    carried = F.forall("words", lambda w: F.col("text_norm").contains(w)) & F.expr("text_norm like like")
+    return carriers(several, pages, carried).select("doc_id", "variant_norm", "page_no")
 
 
 def page_hits(need: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
     """Further pages whose whole text carries the variant's words in order (two words or more)."""
-    pages = it.page_texts(items.select("doc_id", "page_no", "item_no", "item_id", "text")).select("doc_id", "page_no", tx.normalize(F.col("page_text")).alias("page_norm"))
-    v = need.select("doc_id", "variant_norm").distinct().withColumn("words", search_words(F.col("variant_norm"))).where("size(words) >= 2")
-    v = v.withColumn("like", F.concat(F.lit("%"), F.array_join(F.transform("words", lambda w: F.replace(w, F.lit("_"), F.lit(r"\_"))), "%"), F.lit("%")))
-    counts = pages.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(BLOCK // 20)).cast("int").alias("n_salts"))
-    dealt = pages.join(counts, "doc_id").withColumn("salt", F.pmod(F.xxhash64("page_no"), F.col("n_salts").cast("bigint")).cast("int")).drop("n_salts")
-    carried = F.col("page_norm").contains(F.get("words", F.lit(0))) & F.expr("page_norm like like")
-    new = _salted(v, counts).join(dealt, ["doc_id", "salt"]).where(carried).select("doc_id", "variant_norm", "page_no")
-    return new.join(found, ["doc_id", "variant_norm", "page_no"], "left_anti")
+    pages = it.page_texts(items.select("doc_id", "page_no", "item_no", "item_id", "text")).select("doc_id", "page_no", tx.normalize(F.col("page_text")).alias("text_norm"))
+    return page_carriers(need, spread(cut_lineage(pages))).join(found, ["doc_id", "variant_norm", "page_no"], "left_anti")
 
 
 def term_pages(results: DataFrame, checklist: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,31 +194,47 @@ def salvaged(items: DataFrame) -> DataFrame:
     return items.where(good).groupBy("doc_id", "page_no").agg(F.min_by("item_id", F.struct("item_no", "item_id")).alias("item_id"))
 
 
-def fuzzy(need: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, variant_norm, text_norm, ratio: nearly equal texts of risky variants that are not equal.
+def _flat(text: Column) -> Column:
+    """Blanks and hyphens as one blank."""
+    return F.trim(F.regexp_replace(text, r"[\s\-]+", " "))
 
-    A ratio of LEAST_RATIO bounds the lengths, and bounds the letters in common as a bag, which is checked before the
-    alignment; neither check can lose a pair.
+
+def nearly_equal(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """wanted, text columns, ratio: risky variants and texts (recognized ones only for variants of six characters at most) of a
+    ratio of LEAST_RATIO or more, equal ones among them.
+
+    With la and lb characters a ratio of r leaves at most (1 - r) (la + lb) characters unmatched, which bounds the lengths
+    (the join key) and the edits (checked by a bounded edit distance); neither loses a pair.
     """
-    texts, salts = _blocks(items)
-    flat = lambda c: F.trim(F.regexp_replace(c, r"[\s\-]+", " "))
-    v = need.select("doc_id", "variant_norm").distinct().where(tx.risky(F.col("variant_norm"))).withColumn("a", flat(F.col("variant_norm")))
-    t = texts.select("doc_id", "salt", "text_norm", "source", flat(F.col("text_norm")).alias("b")).distinct()
-    band = LEAST_RATIO / (2 - LEAST_RATIO)
-    la, lb = F.length("a"), F.length("b")
-    close = (F.least(la, lb) >= F.greatest(la, lb) * band) & (F.col("a") != F.col("b")) & ((F.col("source") != "ocr") | (F.length("variant_norm") <= 6))
-    pairs = _salted(v, salts).join(t, ["doc_id", "salt"]).where(close).select("doc_id", "variant_norm", "text_norm", "a", "b").distinct()
+    kept, shown = wanted.columns, [c for c in texts.columns if c != "doc_id"]
+    la = F.length("a")
+    least, most = F.ceil(la * LEAST_RATIO / (2 - LEAST_RATIO) - 1e-9).cast("int"), F.floor(la * (2 - LEAST_RATIO) / LEAST_RATIO + 1e-9).cast("int")
+    v = wanted.where(tx.risky(F.col("variant_norm"))).withColumn("a", _flat(F.col("variant_norm"))).where("a != ''")
+    v = v.withColumn("size", F.explode(F.sequence(least, most)))
+    t = texts.withColumn("b", _flat(F.col("text_norm"))).withColumn("size", F.length("b"))
+    allowed = (F.col("source") != "ocr") | (F.length("variant_norm") <= 6)
+    unmatched = F.floor((1 - LEAST_RATIO) * (la + F.col("size")) + 1e-9).cast("int")
+    pairs = v.join(t, ["doc_id", "size"]).where(allowed & ((F.col("a") == F.col("b")) | ((unmatched > 0) & (F.levenshtein("a", "b") <= unmatched))))
+    pairs = pairs.select(*kept, *shown, "a", "b")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from difflib import SequenceMatcher
 
+        width = len(kept) + len(shown)
         for batch in batches:
             keep, ratios = [], []
-            for i, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                m = SequenceMatcher(None, a, b)
-                if m.real_quick_ratio() >= LEAST_RATIO and m.quick_ratio() >= LEAST_RATIO and (r := m.ratio()) >= LEAST_RATIO:
+            for i, (a, b) in enumerate(zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())):
+                if (r := SequenceMatcher(None, a, b).ratio()) >= LEAST_RATIO:
                     keep.append(i), ratios.append(round(r, 6))
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(ratios, pa.float64())], names=["doc_id", "variant_norm", "text_norm", "ratio"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(width)), pa.array(ratios, pa.float64())], names=[*kept, *shown, "ratio"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields[:-2])
+    return pairs.mapInArrow(score, f"{fields}, ratio double")
 
-    return pairs.mapInArrow(score, "doc_id string, variant_norm string, text_norm string, ratio double")
+
+def fuzzy(need: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, variant_norm, text_norm, ratio: nearly equal texts of risky variants that are not equal."""
+    texts = distinct_texts(items).select("doc_id", "text_norm", "source").distinct()
+    pairs = nearly_equal(need.select("doc_id", "variant_norm").distinct(), texts)
+    return pairs.where(_flat(F.col("variant_norm")) != _flat(F.col("text_norm"))).select("doc_id", "variant_norm", "text_norm", "ratio").distinct()

@@ -57,10 +57,22 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return holds_any(F.lower(text), words)
 
 
+#: Rows of a sheet that are filled together; what is carried into a block comes from the table of blocks.
+FILL_BLOCK = 1000
+
+
 def filled(checklist: DataFrame) -> DataFrame:
-    """The requirement of merged cells carried down the sheet."""
-    down = Window.partitionBy("checklist_id").orderBy("row_no", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    return checklist.withColumn("requirement", F.last("requirement", ignorenulls=True).over(down))
+    """The requirement of merged cells carried down the sheet: inside blocks of rows, then between blocks, so that no task orders a whole sheet."""
+    block = F.floor(F.col("row_no") / FILL_BLOCK).alias("__block")
+    rows = checklist.withColumn("__block", block)
+    down = Window.partitionBy("checklist_id", "__block").orderBy("row_no", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("__inside", F.last("requirement", ignorenulls=True).over(down))
+    ends = rows.groupBy("checklist_id", "__block").agg(F.max_by("requirement", F.when(F.col("requirement").isNotNull(), F.struct("row_no", "row_id"))).alias("__last"))
+    before = Window.partitionBy("checklist_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("checklist_id", "__block", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    same = [inside[c].eqNullSafe(ends[c]) for c in ("checklist_id", "__block")]
+    joined = inside.join(ends, same, "left").drop(ends["checklist_id"], ends["__block"])
+    return joined.withColumn("requirement", F.coalesce("__inside", "__carried")).drop("__inside", "__carried", "__block")
 
 
 def row_class(checklist: DataFrame) -> DataFrame:
@@ -224,3 +236,46 @@ REPORT = ["requirement", "symbol_exact_wording", "specification", "package_panel
 def report(results: DataFrame) -> DataFrame:
     """Display table: fixed column order, blanks as dashes."""
     return results.select("result_id", *[tx.dashify(F.col(c)).alias(c) for c in REPORT])
+
+
+def kept_rows(checklist: DataFrame) -> DataFrame:
+    """Rows that say anything: a wording, specification, remark or link, an image, or the heading of play functions."""
+    rows = filled(checklist)
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    heading = F.coalesce("requirement", F.lit("")).rlike(r"(?i)instruction\s+of\s+play\s+function\s+feature")
+    return rows.where(said("symbol_exact_wording") | said("specification") | said("remark") | said("remark_link") | F.coalesce("has_image", F.lit(False)) | heading)
+
+
+def remark_pairs(checklist: DataFrame) -> DataFrame:
+    """row_id, pair_no, left_text, right_text of the lines "left = right" of a remark."""
+    lines = F.split(F.coalesce("remark", F.lit("")), r"\r\n|\r|\n|;")
+    side = lambda x, pattern: F.trim(F.regexp_extract(x, pattern, 1))
+    pairs = F.filter(F.transform(F.filter(lines, lambda x: x.contains("=")), lambda x: F.struct(side(x, "^([^=]*)=").alias("l"), side(x, "=(.*)$").alias("r"))), lambda p: (p["l"] != "") & (p["r"] != ""))
+    return checklist.select("row_id", F.posexplode(pairs).alias("p", "x")).select("row_id", (F.col("p") + 1).alias("pair_no"), F.col("x.l").alias("left_text"), F.col("x.r").alias("right_text"))
+
+
+def with_mode(groups: Column, mode: str) -> Column:
+    """All image groups under one mode."""
+    return F.transform(groups, lambda g: F.struct(g["name"].alias("name"), F.lit(mode).alias("mode"), g["paths"].alias("paths")))
+
+
+def resolved_paths(checklist: DataFrame, base: str) -> DataFrame:
+    """row_id, path_no, path of all images, relative ones under the folder of the checklist."""
+    paths = F.flatten(F.transform("image_groups_resolved", lambda g: F.coalesce(g["paths"], F.array().cast("array<string>"))))
+    clean = F.filter(F.transform(paths, lambda p: F.replace(F.trim(p), F.lit("\\"), F.lit("/"))), lambda p: F.coalesce(p, F.lit("")) != "")
+    rows = checklist.select("row_id", F.posexplode(clean).alias("i", "p"))
+    whole = F.col("p").rlike("^([A-Za-z]:)?/") | F.col("p").rlike("^[a-z]+://")
+    return rows.select("row_id", (F.col("i") + 1).alias("path_no"), F.when(whole, F.col("p")).otherwise(F.concat(F.lit(f"{base}/"), "p")).alias("path"))
+
+
+def first_holding(results: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, first_id: the first result of each document whose wording holds one of the words, letter case aside."""
+    return results.where(contains_any(F.coalesce("symbol_exact_wording", F.lit("")), words)).groupBy("doc_id").agg(F.min("result_id").alias("first_id"))
+
+
+def result_flags(results: DataFrame) -> DataFrame:
+    """result_id, has_pages, is_found (manual rows count as found) of stored results."""
+    pages = F.trim("pages")
+    has = ~pages.isin("", "-", "—", "0") & (F.lower(pages) != "none")
+    found = (F.lower(F.trim("verification")) == "manual") | F.trim("found_flag").startswith("✅")
+    return results.select("result_id", F.coalesce(has, F.lit(False)).alias("has_pages"), F.coalesce(found, F.lit(False)).alias("is_found"))

@@ -6,6 +6,7 @@ the data, or are reduced by partial aggregates.  Null boxes take part in no geom
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,26 +175,46 @@ def underlined_by(items: DataFrame, reach: float = 2.0, least: float = 0.5) -> D
     return spans.join(rules, near, "left_semi").select("item_id")
 
 
+def full_recognition_gate(items: DataFrame, least_words: int = 8) -> DataFrame:
+    """doc_id, page_no, again: pages of which recognition gave nothing, or few words and no plus sign."""
+    ocr = F.col("source") == "ocr"
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    plus = F.col("text").contains("+") | F.col("text").contains("＋")
+    per = items.groupBy(*PAGE).agg(F.count_if(ocr).alias("n"), F.sum(F.when(ocr, words)).alias("words"), F.bool_or(F.when(ocr, plus)).alias("plus"))
+    return per.select(*PAGE, ((F.col("n") == 0) | ((F.coalesce("words", F.lit(0)) < least_words) & ~F.coalesce("plus", F.lit(False)))).alias("again"))
+
+
 def ocr_lines(items: DataFrame) -> DataFrame:
-    """Words of OCR pages gathered into lines, left to right and top to bottom: a word joins the first line at its height
-    whose end is near enough; a line's height and centre are running means, so the order matters."""
-
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(cy=(page.y0 + page.y1) / 2, h=(page.y1 - page.y0).clip(lower=1.0)).sort_values(["cy", "x0", "item_id"])
-        lines: list[dict] = []
-        for w in page.itertuples():
-            for line in lines:
-                tall = max(line["h"], w.h)
-                if abs(w.cy - line["cy"]) <= 0.45 * tall and w.x0 - line["end"] <= 1.2 * tall:
-                    n = len(line["words"]) + 1
-                    line["words"].append(w.text or "")
-                    line["cy"], line["h"] = line["cy"] + (w.cy - line["cy"]) / (n + 1), line["h"] + (w.h - line["h"]) / (n + 1)
-                    line["end"] = w.x1
-                    break
-            else:
-                lines.append({"words": [w.text or ""], "cy": w.cy, "h": w.h, "end": w.x1})
-        return pd.DataFrame({"doc_id": page.doc_id.iloc[0], "page_no": page.page_no.iloc[0], "line_no": range(1, len(lines) + 1), "text": [" ".join(x["words"]) for x in lines], "n_words": [len(x["words"]) for x in lines]})
+    """Recognized words of a page gathered into lines.
+
+    A line is open at its right end.  Words come by the height of their middle, then from the left; a word belongs to the
+    first open line, in order of opening, whose middle it meets within 0.45 and whose end within 1.2 of the larger height;
+    otherwise it opens a line.  Height and middle of a line are the means over its words, its first one counting twice.
+    """
+
+    def lines_of(page: pd.DataFrame) -> pd.DataFrame:
+        top, bottom = page["y0"].to_numpy(float), page["y1"].to_numpy(float)
+        middle, height = (top + bottom) / 2, np.maximum(bottom - top, 1.0)
+        left, right, texts = page["x0"].to_numpy(float), page["x1"].to_numpy(float), page["text"].fillna("").tolist()
+        n = len(page)
+        # One row per open line, in order of opening: sums of middles and heights, words that count, right end.
+        sums, ends, line_of, opened = np.zeros((n, 3)), np.zeros(n), np.zeros(n, int), 0
+        for i in np.lexsort((page["item_id"], left, middle)):
+            mids, talls = (sums[:opened, k] / sums[:opened, 2] for k in (0, 1))
+            tall = np.maximum(talls, height[i])
+            fits = np.flatnonzero((np.abs(middle[i] - mids) <= 0.45 * tall) & (left[i] - ends[:opened] <= 1.2 * tall))
+            at = fits[0] if len(fits) else opened
+            if at == opened:
+                opened += 1
+                sums[at] += (middle[i], height[i], 1)
+            sums[at] += (middle[i], height[i], 1)
+            ends[at], line_of[i] = right[i], at
+        words: list[list[str]] = [[] for _ in range(opened)]
+        for i in np.lexsort((page["item_id"], left, middle)):
+            words[line_of[i]].append(texts[i])
+        head = {c: page[c].iloc[0] for c in PAGE}
+        return pd.DataFrame({**head, "line_no": range(1, opened + 1), "text": [" ".join(w) for w in words], "n_words": [len(w) for w in words]})
 
     words = items.where((F.col("source") == "ocr") & F.col("level").isNull() & F.col("bbox").isNotNull())
     words = words.select("item_id", *PAGE, "text", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
-    return words.groupBy(*PAGE).applyInPandas(group, "doc_id string, page_no int, line_no int, text string, n_words int")
+    return words.groupBy(*PAGE).applyInPandas(lines_of, "doc_id string, page_no int, line_no int, text string, n_words int")

@@ -243,8 +243,8 @@ def _(items):
 
 _ARTWORK = f"""SELECT doc_id, page_no, bool_or(regexp_matches(upper(coalesce(text, '')), '\\b[A-Z]{{3}}[0-9]{{2}}\\b'))
   OR (count(*) FILTER (WHERE NOT ocr) >= {it.ARTWORK_ITEMS} AND bool_or(NOT ocr AND mm >= {it.ARTWORK_MM})) OR (count(*) FILTER (WHERE ocr) >= {it.ARTWORK_ITEMS} AND bool_or(mm >= {it.ARTWORK_MM}))
-  OR bool_or({' OR '.join(f"contains(norm, {q.quote(h)})" for h in it.ORIGIN_HINTS)}) AS is_artwork
-FROM (SELECT *, lower(coalesce(source, 'pdf')) = 'ocr' AS ocr, {q.picked_mm()} AS mm, {q.normalize('text')} AS norm FROM page_items) GROUP BY 1, 2"""
+  OR len(list_filter([{', '.join(q.quote(h) for h in it.ORIGIN_HINTS)}], lambda h: contains({q.normalize("string_agg(coalesce(text, ''), ' ' ORDER BY item_no, item_id)")}, h))) > 0 AS is_artwork
+FROM (SELECT *, lower(coalesce(source, 'pdf')) = 'ocr' AS ocr, {q.picked_mm()} AS mm FROM page_items) GROUP BY 1, 2"""
 
 
 @query("artwork_pages", "page_items", _ARTWORK)

@@ -26,13 +26,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one is set only where none is named (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where none is named, a local one serves a local master and anything else is an error."""
     sc = spark.sparkContext
     set_to = sc._jsc.sc().getCheckpointDir()
     if set_to.isDefined():
         return set_to.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "proofmill-checkpoints")
     sc.setCheckpointDir(named)
     return named

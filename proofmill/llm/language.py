@@ -207,7 +207,7 @@ def fit(texts: list[tuple[str, str]], epochs: int = 20):
     for seq in sequences:
         ids, kinds, gold = [], [], []
         for words, kind, label in seq:
-            for j, w in enumerate(words[:60]):
+            for j, w in enumerate(words):
                 ids.append(vocabulary.setdefault(w, len(vocabulary)))
                 kinds.append((kind if ids[:-1] else 3) if j == 0 else 0)
                 gold.append(label)

@@ -1,18 +1,20 @@
 """Texts cut off by field limits.
 
-Two judges.  Near-copies (word shingles, min-hash banding, verified similarity) are aligned, and the copy whose
-alignment ends early, inside a sentence or word of the other, is cut.  Every text is also judged by how it closes: after
-the marks that systems set behind a text are taken off, a closing sentence must end in a sentence mark, and any other
-closing line (heading, list entry) must be one that stands complete inside other documents, by counts over all
-documents.
-
-Skew: exact copies are collapsed to one text before banding; inside a band bucket all pairs of different texts are
-verified, except those that cannot count: both texts end in a sentence mark, or their numbers of shingles or bitmaps of
-shingles (both bound the similarity from above) rule 0.8 out.  A bucket of more than BLOCK texts is dealt into blocks and
-each pair of blocks is joined by itself, so no task holds more than two blocks.
+Two judges.  A cut copy is the beginning of its whole, so near-copies are sought among the beginnings of texts: the word
+shingles of the first 16, 32, 64 ... places of a text are min-hashed and banded, a text that does not close with a
+sentence mark looks in the buckets of its two longest beginnings for texts that go on, the share of its shingles that the
+other text holds is verified (0.8), the pair is aligned, and the copy whose alignment ends early, inside a sentence or word
+of the other, is cut.  Every text is also judged by the terminality of its close: after the marks that systems set behind
+a text are taken off, a closing sentence must end in a sentence mark; any other closing line (heading, list entry) is
+complete where the share of documents in which these words end a line, among all documents in which they begin one, is
+large enough, by counts over all documents.
+
+Skew: exact copies count as one text before pairs are made, by a map-side aggregate; texts that no cut text asks for are
+left out by a bitmap of fixed size before anything is shuffled; the texts of a bucket are dealt into blocks of BLOCK, and
+each asking text is joined with every block, so no task holds a large bucket.
 
 Defined results: null and blank texts are not cut; a text of codes only is complete; a text that a system closed with an
-ellipsis is cut; repeated texts each get their own row.
+ellipsis is cut; repeated texts each get their own row; a text of fewer than 20 words is judged by its close only.
 """
 
 from __future__ import annotations
@@ -26,24 +28,33 @@ from pyspark.sql import functions as F
 
 from proofmill.runtime import cut_lineage, spread
 
-SHINGLE, LEAST_SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
-#: Other documents in which a closing line without a sentence mark must stand before another line.
-LEAST_SUPPORT = 2
-#: Shared buckets sent to every executor; more are joined by a shuffle.
+SHINGLE, LEAST_SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
+#: Shingles of the shortest beginning that is hashed; each further one is twice as long.
+BEGINNING = 16
+#: Least share of documents in which a line ends behind the words of an open close, less PRIOR documents that go on.
+LEAST_TERMINAL, PRIOR = 0.2, 6
+#: Ids of texts to compare that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Texts of a bucket that are joined with each other in one group; larger buckets are dealt into blocks.
+#: Texts of a bucket in one group; larger buckets are dealt into blocks.
 BLOCK = 2000
-#: 64-bit words of a text's bitmap of shingles.
-BITMAP = 4
-#: A longer line is no heading and no list entry.
-LONGEST_CLOSE = 200
+#: 64-bit words of the bitmap of buckets that are asked for (2 MB whatever the data).
+BITMAP = 1 << 18
 _LINES = re.compile(r"\r\n|\r|\n| ")
 #: Words, signs, and the letters of scripts without blanks between words.
 _UNSPACED = "\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff"
 _TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+|[^\w\s]")
-_TERMINAL = re.compile(r"[.!?。！？](?:[\"'”’»)\]]|\s)*$")
-_ELLIPSIS = re.compile(r"(?:…|\.\.\.|\[\.\.\.\]|\[…\]|\(\.\.\.\)|\(…\))\s*$")
-_CODE = re.compile(r"\(?\b[A-Z]{1,5}\d[\w-]*\d[\w-]*\)?\s*$")
+_ELLIPSIS = ("…", "...", "[...]", "[…]", "(...)", "(…)")
+_CODE = re.compile(r"\(?\b[A-Z]{1,5}\d[\w-]*\d[\w-]*\)?$")
+
+
+def ends_sentence(line: str) -> bool:
+    """A sentence mark closes the line, behind it at most closing quotes, brackets and blanks."""
+    return line.rstrip().rstrip("\"'”’»)] \t\u00a0").endswith((".", "!", "?", "。", "！", "？"))
+
+
+def ends_open(line: str) -> bool:
+    """An ellipsis closes the line."""
+    return line.rstrip().endswith(_ELLIPSIS)
 
 
 def is_mark_line(line: str) -> bool:
@@ -58,19 +69,19 @@ def is_mark_line(line: str) -> bool:
 def close_of(text: str) -> tuple[str, str]:
     """(verdict, line): "cut" or "whole" where the close itself tells, else "ask" with the closing line in one form."""
     lines = [line for raw in _LINES.split(text) if (line := raw.strip())]
-    while len(lines) > 1 and is_mark_line(lines[-1]) and not _ELLIPSIS.search(lines[-1]):
+    while len(lines) > 1 and is_mark_line(lines[-1]) and not ends_open(lines[-1]):
         lines.pop()
     if not lines:
         return "whole", ""
     last = lines[-1]
-    if is_mark_line(last) and not _ELLIPSIS.search(last):
+    if is_mark_line(last) and not ends_open(last):
         return "whole", last
     if last.rfind("(") > last.rfind(")"):
         return "cut", last  # an open bracket
-    for _ in range(4):  # a close has a code or two behind it, not more
-        if _ELLIPSIS.search(last[-80:]):
+    while True:  # codes behind the close are taken off
+        if ends_open(last):
             return "cut", last
-        if _TERMINAL.search(last[-80:]):
+        if ends_sentence(last):
             return "whole", last
         bare = without_code(last)
         if bare == last or not bare:
@@ -78,83 +89,131 @@ def close_of(text: str) -> tuple[str, str]:
         last = bare
     if not re.search(r"[^\W\d_]", last):
         return "whole", last
-    return ("ask", line_form(last)) if len(last) < LONGEST_CLOSE else ("cut", last)
+    return "ask", line_form(last)
 
 
 def without_code(line: str) -> str:
-    """The line less a code at its end (codes are short)."""
-    return line[:-80] + _CODE.sub("", line[-80:]).rstrip()
+    """The line less a code at its end; a word of more than 80 characters is no code."""
+    head, _, word = line.rstrip().rpartition(" ")
+    if len(word) > 80 or not (m := _CODE.search(word)):
+        return line
+    return f"{head} {word[: m.start()]}".strip()
 
 
 def line_form(line: str) -> str:
     return " ".join(without_code(line).lower().split())
 
 
+def _beginnings(form: str) -> list[int]:
+    """Hashes of the first word, the first two words ... of a line; the last one is that of the whole line."""
+    import xxhash
+
+    h, out = xxhash.xxh3_64(), []
+    for word in form.split(" "):
+        h.update(word)
+        out.append(h.intdigest() - 2**63)
+        h.update(" ")
+    return out
+
+
 def closes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key (null for a line inside a document), verdict, line (of lines inside documents and of closes to ask about)."""
+    """key, verdict, line of closes that are cut or ask (line: hash of the close); with a null key, line, n_ends, n_goes_on: in
+    how many documents these words are a whole line without a sentence mark, and in how many they only begin one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, verdicts, forms = [], [], []
+            rows: list[tuple] = []
+            counts: dict[int, list[int]] = {}
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 verdict, line = close_of(t)
-                keys.append(k), verdicts.append(verdict), forms.append(line if verdict == "ask" else None)
-                inside = {line_form(x) for raw in _LINES.split(t)[:-1] if (x := raw.strip()) and len(x) < LONGEST_CLOSE and not _TERMINAL.search(x)}
+                if verdict != "whole":
+                    rows.append((k, verdict, _beginnings(line)[-1] if verdict == "ask" else None, 0, 0))
+                forms = {line_form(x) for raw in _LINES.split(t)[:-1] if (x := raw.strip()) and not ends_sentence(x)}
                 # The last line of content speaks for itself, not for others.
-                inside.discard(line if verdict == "ask" else "")
-                for form in inside:
-                    keys.append(None), verdicts.append("inside"), forms.append(form)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(verdicts, pa.string()), pa.array(forms, pa.string())], names=["key", "verdict", "line"])
+                forms.discard(line if verdict == "ask" else "")
+                ends, goes_on = set(), set()
+                for form in forms:
+                    *some, every = _beginnings(form)
+                    ends.add(every)
+                    goes_on.update(some)
+                for which, found in ((0, ends), (1, goes_on)):
+                    for h in found:
+                        counts.setdefault(h, [0, 0])[which] += 1
+            rows += [(None, None, h, a, b) for h, (a, b) in counts.items()]
+            cols = list(zip(*rows)) or [[]] * 5
+            types = [batch.schema[0].type, pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["key", "verdict", "line", "n_ends", "n_goes_on"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"\S"))
-    return rows.mapInArrow(run, f"key {kind}, verdict string, line string")
+    return rows.mapInArrow(run, f"key {kind}, verdict string, line bigint, n_ends bigint, n_goes_on bigint")
+
+
+def _levels(n: int) -> list[int]:
+    """Lengths of the beginnings of a text of n shingles."""
+    out = []
+    while BEGINNING << len(out) <= n:
+        out.append(BEGINNING << len(out))
+    return out
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, copy (hash of the text), size, asks (buckets of the two longest beginnings of an open text), offers (buckets of all)."""
     import numpy as np
     import xxhash
 
     rng = np.random.default_rng(11)
-    mul = rng.integers(1, 2**62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-    word_hash: dict[str, int] = {}
+    mul = rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+    mix = rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    class Hashes(dict):
+        def __missing__(self, word: str) -> int:
+            h = self[word] = xxhash.xxh3_64_intdigest(word)
+            return h
+
+    word_hash = Hashes()
     prime = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
-        rows = []
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        at_row, copies, sizes, asks, all_offers = [], [], [], [], []
+        for row, t in enumerate(batch.column(1).to_pylist()):
             words = _words(t)
-            if len(words) < SHINGLE:
+            n = len(words) - SHINGLE + 1
+            if n < BEGINNING:
                 continue
             if len(word_hash) > 200_000:
                 word_hash.clear()
-            hashes = np.fromiter([word_hash.get(w) or word_hash.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], np.uint64, len(words))
+            hashes = np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
+            levels = np.array(_levels(n))
             with np.errstate(over="ignore"):
-                shingles = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+                shingles = np.zeros(n, np.uint64)
                 for i in range(SHINGLE):
-                    shingles = (shingles ^ hashes[i : len(words) - SHINGLE + 1 + i]) * prime
+                    shingles = (shingles ^ hashes[i : n + i]) * prime
                     shingles ^= shingles >> np.uint64(29)
-                shingles.sort()
-                shingles = shingles[np.concatenate(([True], shingles[1:] != shingles[:-1]))]
-                low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(shingles), 4096):  # long texts in blocks
-                    low = np.minimum(low, (shingles[at : at + 4096, None] * mul + add).min(axis=0))
-            # Parities of the shingles by their last bits: the bits in which two bitmaps differ are at most the shingles that only one text has.
-            odd = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
-            keys = [xxhash.xxh3_64_intdigest(low[b * ROWS : b * ROWS + ROWS].tobytes(), seed=b) - 2**63 for b in range(BANDS)]
-            rows.append((k, xxhash.xxh3_64_intdigest(t) - 2**63, len(shingles), open_end(t) > 0, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist(), keys))
-        cols = list(zip(*rows)) or [[]] * 6
-        types = [batch.schema[0].type, pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["id", "copy", "size", "open", "bits", "buckets"])
+                short = (shingles[: levels[-1]] >> np.uint64(32)).astype(np.uint32)[:, None]
+                # Least values between the levels, then from the start up to each level; long texts in blocks.
+                cuts = np.unique(np.concatenate(([0], levels[:-1], np.arange(0, levels[-1], 4096))))
+                least = np.stack([np.minimum.reduceat(short[a:b] * mul + add, [0], axis=0)[0] for a, b in zip(cuts, [*cuts[1:], levels[-1]])]) if levels[-1] > 4096 else np.minimum.reduceat(short * mul + add, cuts, axis=0)
+                low = np.minimum.accumulate(least, axis=0)[np.searchsorted(cuts, levels) - 1]
+                # A bucket is the hash of the level, the band (by its multipliers) and the band's least values.
+                key = (low.reshape(-1, BANDS, ROWS) * mix).sum(axis=2, dtype=np.uint64) + levels[:, None].astype(np.uint64)
+                key = (key ^ (key >> np.uint64(31))) * prime
+                offers = list(key ^ (key >> np.uint64(29)))
+            at_row.append(row), copies.append(xxhash.xxh3_64_intdigest(t) - 2**63), sizes.append(n)
+            asks.append(offers[-2:] if open_end(t) else []), all_offers.append(offers)
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) * BANDS for x in side)]), pa.int32()), pa.array(np.concatenate([y for x in side for y in x] or [np.empty(0, np.uint64)]).view(np.int64))) for side in (asks, all_offers)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_row, pa.int64())), pa.array(copies, pa.int64()), pa.array(sizes, pa.int32()), *lists], names=["id", "copy", "size", "asks", "offers"])
 
 
 def _words(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
 
-def similarity(a: str, b: str) -> float:
-    x, y = (set(zip(*(w[i:] for i in range(SHINGLE)))) for w in (_words(a), _words(b)))
-    return len(x & y) / len(x | y) if x and y else 0.0
+def held(short: str, whole: str) -> float:
+    """The share of the shingles of `short` that the beginning of `whole` holds, up to a quarter more words than `short` has."""
+    x, y = _words(short), _words(whole)
+    y = y[: len(x) * 5 // 4 + SHINGLE]
+    a, b = (set(zip(*(w[i:] for i in range(SHINGLE)))) for w in (x, y))
+    return len(a & b) / len(a) if a else 0.0
 
 
 def open_end(text: str) -> int:
@@ -167,8 +226,12 @@ def open_end(text: str) -> int:
             if not is_mark_line(last.strip()):
                 break
         end = start - 1
-    last = _ELLIPSIS.sub("", last.rstrip()).rstrip()
-    return 0 if not last.strip() or _TERMINAL.search(last) else at + len(last)
+    last = last.rstrip()
+    for mark in sorted(_ELLIPSIS, key=len, reverse=True):
+        if last.endswith(mark):
+            last = last[: -len(mark)].rstrip()
+            break
+    return 0 if not last.strip() or ends_sentence(last) else at + len(last)
 
 
 def ends_early(short: str, whole: str) -> bool:
@@ -195,66 +258,70 @@ def ends_early(short: str, whole: str) -> bool:
     return bool(at and re.match(r"\w|[\s,;:]+\(?\w", _LINES.split(whole[at:], maxsplit=1)[0]))
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """copy, other_copy, id, other: the pairs of each bucket (bucket, copy, id, size, open, bitmap) that can be similar and of which one can be cut."""
-    large = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks")).where("n_blocks > 1")
-    dealt = members.join(large, "bucket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("copy"), F.col("n_blocks").cast("bigint")).cast("int"))
-    # Each text meets every block, its own among them, in the group of the two blocks.
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("n_blocks", "with")
-    a, b = dealt.alias("a"), dealt.alias("b")
-    once = (F.col("a.copy") < F.col("b.copy")) & ((F.col("a.lo") == F.col("a.hi")) | (F.col("a.block") != F.col("b.block")))
-    # Of x and y shingles at a similarity of s or more, min / max >= s, and at most (x + y) (1 - s) / (1 + s) are in one text only; rounding never drops a pair.
-    x, y = F.col("a.size"), F.col("b.size")
-    only_one = sum((F.bit_count(F.col(f"a.b{i}").bitwiseXOR(F.col(f"b.b{i}"))) for i in range(BITMAP)), F.lit(0))
-    similar = (F.least(x, y) >= F.greatest(x, y) * (LEAST_SIMILAR - 1e-9)) & (only_one <= (x + y) * ((1 - LEAST_SIMILAR) / (1 + LEAST_SIMILAR) + 1e-9))
-    same_group = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "lo", "hi")]
-    met = a.join(b, [*same_group, once & (F.col("a.open") | F.col("b.open")) & similar])
-    return met.select("a.copy", F.col("b.copy").alias("other_copy"), "a.id", F.col("b.id").alias("other"))
+def _asked_for(offers: DataFrame, asks: DataFrame) -> DataFrame:
+    """The offers whose bucket may be asked for: a bitmap of the asked buckets, of BITMAP rows at most, meets them where they are."""
+    place = F.pmod("bucket", F.lit(64 * BITMAP))
+    word = F.floor(place / 64).cast("int")
+    bits = asks.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(bucket, {64 * BITMAP}) % 64 as int))")).alias("bits"))
+    met = offers.withColumn("word", word).join(F.broadcast(bits), "word")
+    return met.where(F.expr(f"bits & shiftleft(1L, cast(pmod(bucket, {64 * BITMAP}) % 64 as int)) != 0")).drop("word", "bits")
+
+
+def _bucket_pairs(asks: DataFrame, offers: DataFrame) -> DataFrame:
+    """copy, other_copy, id, other, sizes, level: each asking text with the other texts of its buckets (bucket, copy, id, size) that are no shorter, give or take a fifth."""
+    large = cut_lineage(offers.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks")).where("n_blocks > 1"))
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a checked size; otherwise the join shuffles
+        large = F.broadcast(large)
+    blocks = lambda df: df.join(large, "bucket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    dealt = blocks(offers).withColumn("block", F.pmod(F.xxhash64("copy"), F.col("n_blocks").cast("bigint")).cast("int"))
+    asking = blocks(asks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    a, b = asking.alias("a"), dealt.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "block")]
+    met = a.join(b, [*same, (F.col("a.copy") != F.col("b.copy")) & (F.col("b.size") >= F.col("a.size") * LEAST_SIMILAR)])
+    return met.select("a.copy", F.col("b.copy").alias("other_copy"), "a.id", F.col("b.id").alias("other"), "a.size", F.col("b.size").alias("other_size"), "a.level")
 
 
 def near_copies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, other, similar, early: all verified near-copies that share a bucket, the shorter first; pairs that both end in a sentence mark are left out."""
+    """id, other, held, early: texts that do not close with a sentence mark, verified near-copies of the beginning of another text; early: the other goes on."""
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"\S"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = cut_lineage(texts.mapInArrow(_signatures, f"id {kind}, copy bigint, size int, open boolean, bits array<bigint>, buckets array<bigint>"))
+    signed = cut_lineage(texts.mapInArrow(_signatures, f"id {kind}, copy bigint, size int, asks array<bigint>, offers array<bigint>"))
     # Exact copies (equal `copy`) count as one text; texts stay where they are until links are known.
-    shared = signed.select("copy", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).where("least != most").select("bucket")
-    shared = cut_lineage(shared)
-    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a checked size; otherwise the join shuffles
-        shared = F.broadcast(shared)
-    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP)]
-    members = signed.select("id", "copy", "size", "open", *bits, F.explode("buckets").alias("bucket")).join(shared, "bucket")
-    own = [F.first(c).alias(c) for c in ["size", "open", *(f"b{i}" for i in range(BITMAP))]]  # the same in all exact copies
-    members = cut_lineage(members.groupBy("bucket", "copy").agg(F.min("id").alias("id"), *own))
-    met = _bucket_pairs(members)
-    links = cut_lineage(met.groupBy("copy", "other_copy").agg(F.min("id").alias("id"), F.min("other").alias("other")).select("id", "other"))
+    one = lambda df: df.groupBy("bucket", "copy").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("level").alias("level"))
+    asking = signed.where(F.size("asks") > 0).select("id", "copy", "size", F.posexplode("asks").alias("at", "bucket"))
+    asks = cut_lineage(one(asking.withColumn("level", F.floor(F.col("at") / BANDS).cast("int"))))
+    offers = one(_asked_for(signed.select("id", "copy", "size", F.lit(0).alias("level"), F.explode("offers").alias("bucket")), asks))
+    met = _bucket_pairs(asks, cut_lineage(offers)).groupBy("copy", "other_copy").agg(*(F.min(c).alias(c) for c in ("id", "other", "size", "other_size")), F.count_distinct("level").alias("levels"))
+    # Both of the two longest beginnings must meet, where the shorter of them has 32 shingles or more and the other text is as long as the longer one.
+    longest = BEGINNING * F.pow(F.lit(2), F.floor(F.log2(F.col("size") / BEGINNING) + 1e-9))
+    links = cut_lineage(met.where((F.col("levels") >= 2) | (F.col("size") < 4 * BEGINNING) | (F.col("other_size") < longest)).select("id", "other"))
+    needed = links.select("id").union(links.select("other")).distinct()
+    n_needed = needed.limit(BROADCAST_ROWS + 1).count()
+    if n_needed <= BROADCAST_ROWS:  # a checked size; otherwise the join shuffles
+        needed = F.broadcast(needed)
+    texts = texts.join(needed, "id", "left_semi") if n_needed else texts.limit(0)
     pairs = links.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("whole")), "other").select("id", "other", "text", "whole")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, o, a, b in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if (len(a), a) > (len(b), b):
-                    i, o, a, b = o, i, b, a
-                s = similarity(a, b)
-                if s >= LEAST_SIMILAR:
-                    rows.append((i, o, s, ends_early(a, b)))
-                    if ends_early(b, a):
-                        rows.append((o, i, s, True))
+                if (share := held(a, b)) >= LEAST_SIMILAR:
+                    rows.append((i, o, share, ends_early(a, b)))
             cols = list(zip(*rows)) or [[]] * 4
             types = [batch.schema[0].type, batch.schema[1].type, pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["id", "other", "similar", "early"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), ty) for x, ty in zip(cols, types)], names=["id", "other", "held", "early"])
 
-    return pairs.mapInArrow(verify, f"id {kind}, other {kind}, similar double, early boolean")
+    return pairs.mapInArrow(verify, f"id {kind}, other {kind}, held double, early boolean")
 
 
 def cut_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, by ("copy" or "close"): the texts that were cut."""
     docs = spread(docs.select(key, F.col(text).cast("string").alias("text")).where(F.col(text).isNotNull()))
-    judged = cut_lineage(closes(docs, key, "text").where("verdict != 'whole'"))  # three uses; a row per cut or open close and per inner line without a mark
-    support = judged.where("key is null").groupBy("line").agg(F.count("*").alias("n"))
-    asked = judged.where("key is not null and verdict = 'ask'").join(support, "line", "left").where(F.coalesce("n", F.lit(0)) < LEAST_SUPPORT).select("key")
+    judged = cut_lineage(closes(docs, key, "text"))  # two uses; a row per cut or open close, and the lines' counts
+    counts = judged.where("key is null").groupBy("line").agg(F.sum("n_ends").alias("ends"), F.sum("n_goes_on").alias("goes_on")).where("ends > 0")
+    share = F.col("ends") / (F.col("ends") + F.col("goes_on") + PRIOR)
+    asked = judged.where("key is not null and verdict = 'ask'").join(counts, "line", "left").where(F.coalesce(share, F.lit(0.0)) < LEAST_TERMINAL).select("key")
     by_close = judged.where("key is not null and verdict = 'cut'").select("key").unionByName(asked)
     early = near_copies(docs, key, "text").where("early").select("id").distinct()
     same = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("h"))

@@ -110,3 +110,26 @@ def test_shares_and_empty(spark):
     assert tr.cut_texts(docs(spark, []), "doc_id", "text").collect() == []
     long = "It goes on. " * 50_000
     assert [r.doc_id for r in tr.cut_texts(docs(spark, [long, long + "And"]), "doc_id", "text").collect()] == [1]
+
+
+def test_only_buckets_that_are_asked_for_are_written(spark, monkeypatch):
+    # Few texts are open: the buckets of the others, 16 for every beginning, must not be written out.
+    wrote = []
+    monkeypatch.setattr(tr, "cut_lineage", lambda df, f=tr.cut_lineage: wrote.append(f(df)) or wrote[-1])
+    rows, cut = cut_copies(random.Random(7), 10, (0.9,))
+    whole = [(100 + i, text.replace("w", f"v{i}u")) for i, (_, text) in enumerate(rows) if text.endswith(".")]
+    whole = [(i + 1000 * k, text.replace("v", f"x{k}v")) for i, text in whole for k in range(20)]
+    df = spark.createDataFrame(rows + whole, "doc_id bigint, text string")
+    links = {(r.id, r.other) for r in tr.near_copies(df, "doc_id", "text").collect()}
+    assert {(i, i - 1) for i in cut} <= links
+    arrays = [sum(sum(len(v) for v in r if isinstance(v, list)) for r in df.collect()) for df in wrote]
+    assert sum(arrays) < 16 * 8 * len(rows) * 2
+
+
+def test_bitmap_keeps_its_selectivity(spark):
+    import numpy as np
+
+    key = np.random.default_rng(3).integers(0, 2**64, 2_000_000, dtype=np.uint64)
+    asks = spark.createDataFrame([(key[i : i + 32].view(np.int64).tolist(),) for i in range(0, 1_000_000, 32)], "buckets array<bigint>")
+    bits, n_hashes = tr._bitmap(asks)
+    assert tr._kept(bits, n_hashes, key[:1_000_000]).all() and tr._kept(bits, n_hashes, key[1_000_000:]).mean() < 0.05

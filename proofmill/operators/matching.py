@@ -5,7 +5,7 @@ one run of three characters: the one of the wording's words that is rarest among
 some wording asks for (a table of at most GRAMS rows, which is sent to the executors).  The work therefore grows with the
 texts and the true candidates, not with wordings times texts; the full ladder of predicates is applied to what meets.
 Wordings too short for a run, such as "3+", of which there are few different ones, meet all texts of their document, dealt
-over salts; nearly equal texts meet on the document and the length.
+over salts; nearly equal texts meet on the document and a piece that stands whole in both.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ STOP = cl.STOP
 DROP = ["requirement", "address", "code"]
 KEEP = ["astm", "iso", "en71", "f963", "eu", "us", "uk", "br", "ca", "brazil", "canada", "canadian"]
 LEAST_RATIO = 0.96
+#: In documents of more pairs of a variant and a text, nearly equal ones meet on pieces, up to so many characters of the variant; others meet on their length.
+MANY, LONG = 200_000, 150
 
 
 def search_words(variant: Column) -> Column:
@@ -40,7 +42,7 @@ def search_words(variant: Column) -> Column:
 def required(results: DataFrame, checklist: DataFrame) -> DataFrame:
     """doc_id, row_id, term_no, variant_no, variant_norm: what each document must carry."""
     wanted = results.select("doc_id", "row_id").where("doc_id is not null and row_id is not null").distinct()
-    spelled = cl.variants(cl.terms(checklist)).withColumn("variant_norm", tx.normalize(F.col("variant")))
+    spelled = cl.variants(spread(cl.terms(checklist))).withColumn("variant_norm", tx.normalize(F.col("variant")))
     return wanted.join(spelled, "row_id").where("variant_norm != ''")
 
 
@@ -199,38 +201,78 @@ def _flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\-]+", " "))
 
 
+def _most(size: Column) -> Column:
+    """Most characters that a text of a ratio of LEAST_RATIO to one of so many can have."""
+    return F.floor(size * (2 - LEAST_RATIO) / LEAST_RATIO + 1e-9).cast("int")
+
+
+def _unmatched(la: Column, lb: Column) -> Column:
+    return F.floor((1 - LEAST_RATIO) * (la + lb) + 1e-9).cast("int")
+
+
+def _near_keys(v: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (a; b, size) with a row for each key by which a text b can meet a nearly equal a.
+
+    b is parted into one piece more than characters may be unmatched.  Going through the pieces, there is a first one, i, up to whose
+    end no more than i characters are unmatched; it stands whole in a, moved by no more than i places, and by no more than
+    the rest counted from the end.
+    """
+    pieces = lambda size: _unmatched(_most(size), size) + 1
+    start = lambda i, size: F.floor(i * size / pieces(size)).cast("int")
+    piece = lambda text, i, size, moved: F.xxhash64(size, i, F.substr(text, start(i, size) + moved + 1, start(i + 1, size) - start(i, size)))
+
+    def of_piece(size: Column, i: Column) -> Column:
+        rest = pieces(size) - 1 - i
+        low, high = F.greatest(-i, F.length("a") - size - rest), F.least(i, F.length("a") - size + rest)
+        return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda moved: piece(F.col("a"), i, size, moved))).otherwise(F.array().cast("array<bigint>"))
+
+    sizes = F.filter(F.sequence(F.ceil(F.length("a") * LEAST_RATIO / (2 - LEAST_RATIO) - 1e-9).cast("int"), _most(F.length("a"))), lambda size: _unmatched(F.length("a"), size) > 0)
+    keys = F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(F.sequence(F.lit(0), pieces(size) - 1), lambda i: of_piece(size, i)))))
+    return v.withColumn("key", F.explode(F.array_distinct(keys))), t.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), pieces(F.col("size")) - 1), lambda i: piece(F.col("b"), i, F.col("size"), F.lit(0)))))
+
+
 def nearly_equal(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """wanted, text columns, ratio: risky variants and texts (recognized ones only for variants of six characters at most) of a
     ratio of LEAST_RATIO or more, equal ones among them.
 
-    With la and lb characters a ratio of r leaves at most (1 - r) (la + lb) characters unmatched, which bounds the lengths
-    (the join key) and the edits (checked by a bounded edit distance); neither loses a pair.
+    With la and lb characters a ratio of r leaves at most (1 - r) (la + lb) characters unmatched, which bounds the lengths, the
+    pieces that stand whole in both (the join key in documents of MANY pairs, up to LONG characters; else the length) and the edits (checked by a
+    bounded edit distance); none loses a pair.  Each text of a document is compared once, whatever its pages.
     """
     kept, shown = wanted.columns, [c for c in texts.columns if c != "doc_id"]
-    la = F.length("a")
-    least, most = F.ceil(la * LEAST_RATIO / (2 - LEAST_RATIO) - 1e-9).cast("int"), F.floor(la * (2 - LEAST_RATIO) / LEAST_RATIO + 1e-9).cast("int")
     v = wanted.where(tx.risky(F.col("variant_norm"))).withColumn("a", _flat(F.col("variant_norm"))).where("a != ''")
-    v = v.withColumn("size", F.explode(F.sequence(least, most)))
-    t = texts.withColumn("b", _flat(F.col("text_norm"))).withColumn("size", F.length("b"))
+    v = spread(cut_lineage(v))  # four uses
+    t = texts.withColumn("b", _flat(F.col("text_norm")))
     allowed = (F.col("source") != "ocr") | (F.length("variant_norm") <= 6)
-    unmatched = F.floor((1 - LEAST_RATIO) * (la + F.col("size")) + 1e-9).cast("int")
-    pairs = v.join(t, ["doc_id", "size"]).where(allowed & ((F.col("a") == F.col("b")) | ((unmatched > 0) & (F.levenshtein("a", "b") <= unmatched))))
-    pairs = pairs.select(*kept, *shown, "a", "b")
+    equal = v.join(t, (v["doc_id"] == t["doc_id"]) & (v["a"] == t["b"])).where(allowed).select(*[v[c] for c in kept], *shown, F.lit(1.0).alias("ratio"))
+    # A variant of 7 characters or more meets no recognized text, one of fewer only its equal.
+    va = v.select("doc_id", "a").distinct()
+    tb = t.where("source != 'ocr'").select("doc_id", "b").distinct().withColumn("size", F.length("b"))
+    tb = tb.where(_unmatched(_most(F.col("size")), F.col("size")) > 0)
+    n = va.groupBy("doc_id").agg(F.count("*").alias("n")).join(tb.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id")
+    many = cut_lineage(n.select("doc_id", (F.col("n") * F.col("m") > MANY).alias("many")))
+    va, tb = spread(cut_lineage(va.join(many, "doc_id"))), spread(cut_lineage(tb.join(many, "doc_id")))
+    on_pieces = F.col("many") & (F.length("a") <= LONG)
+    short_v, short_t = _near_keys(va.where(on_pieces), tb.where(F.col("many") & (F.col("size") <= _most(F.lit(LONG)))))
+    least = F.ceil(F.length("a") * LEAST_RATIO / (2 - LEAST_RATIO) - 1e-9).cast("int")
+    long_v = va.where(~on_pieces).withColumn("size", F.explode(F.sequence(least, _most(F.length("a")))))
+    unmatched = _unmatched(F.length("a"), F.col("size"))
+    near = (F.col("a") != F.col("b")) & (unmatched > 0) & (F.abs(F.length("a") - F.col("size")) <= unmatched) & (F.call_function("levenshtein", "a", "b", unmatched) >= 0)
+    pairs = short_v.join(short_t, ["doc_id", "key"]).where(near).select("doc_id", "a", "b").unionByName(long_v.join(tb, ["doc_id", "size"]).where(near).select("doc_id", "a", "b")).distinct()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from difflib import SequenceMatcher
 
-        width = len(kept) + len(shown)
         for batch in batches:
             keep, ratios = [], []
-            for i, (a, b) in enumerate(zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())):
+            for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if (r := SequenceMatcher(None, a, b).ratio()) >= LEAST_RATIO:
                     keep.append(i), ratios.append(round(r, 6))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(width)), pa.array(ratios, pa.float64())], names=[*kept, *shown, "ratio"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(keep, pa.int64())) for i in range(3)), pa.array(ratios, pa.float64())], names=["doc_id", "a", "b", "ratio"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields[:-2])
-    return pairs.mapInArrow(score, f"{fields}, ratio double")
+    scored = pairs.mapInArrow(score, "doc_id string, a string, b string, ratio double")
+    other = v.join(scored, ["doc_id", "a"]).join(t, ["doc_id", "b"]).where(allowed).select(*kept, *shown, "ratio")
+    return equal.unionByName(other)
 
 
 def fuzzy(need: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from proofmill.operators import checklists as cl
 from proofmill.operators import items as it
 from proofmill.operators import matching as mt
@@ -116,3 +118,36 @@ def test_checklist_rows(spark):
     assert [r.row_class for r in cl.row_class(df).orderBy("row_id").collect()] == ["manual", "skip", "empty", "keyword", "keyword", "verify", "verify"]
     assert [r.requirement for r in cl.filled(df).orderBy("row_id").collect()] == ["Age mark"] * 3 + ["Brand logo"] * 2 + ["B"] * 2
     assert len({r.report_no for r in cl.ordered_groups(df).collect()}) == 7
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_nearly_equal_against_brute_force(spark, monkeypatch, many):
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(mt, "MANY", many, raising=False)
+    rng, variants, texts = random.Random(4), [], []
+    for n in [*range(10, 60), 75, 100, 101, 140, 149, 150, 151, 170]:
+        base = "".join(rng.choice("abcdefgh, ") for _ in range(n)).strip() + "!"
+        variants.append(" ".join(base.split()))
+        for _ in range(6):  # changed, dropped, added and moved characters, often one more than the ratio allows
+            t = list(variants[-1])
+            for _ in range(rng.randint(0, max(1, n // 20))):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 2)] = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 2))]
+            texts.append(("d", " ".join("".join(t).split()), rng.choice(["pdf", "pdf", "ocr"])))
+    wanted = spark.createDataFrame([("d", v) for v in variants] + [("e", variants[0])], "doc_id string, variant_norm string")
+    shown = spark.createDataFrame(texts, "doc_id string, text_norm string, source string")
+    flat = lambda t: " ".join(t.replace("-", " ").split())
+    want = {(v, t, s): round(r, 6) for v in variants for _, t, s in texts if (s != "ocr" or len(v) <= 6) and (r := SequenceMatcher(None, flat(v), flat(t)).ratio()) >= 0.96}
+    got = {(r.variant_norm, r.text_norm, r.source): r.ratio for r in mt.nearly_equal(wanted, shown).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_few_of_a_large_document_are_compared(spark):
+    # Texts of one length that have no piece in common don't meet.
+    from pyspark.sql import functions as F
+
+    df = spark.range(600).select(F.lit("d").alias("doc_id"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40).alias("a"))
+    v, t = mt._near_keys(df, df.select("doc_id", F.col("a").alias("b"), F.length("a").alias("size")))
+    assert v.join(t, ["doc_id", "key"]).where("a != b").count() < 60

@@ -151,3 +151,12 @@ def test_few_of_a_large_document_are_compared(spark):
     df = spark.range(600).select(F.lit("d").alias("doc_id"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40).alias("a"))
     v, t = mt._near_keys(df, df.select("doc_id", F.col("a").alias("b"), F.length("a").alias("size")))
     assert v.join(t, ["doc_id", "key"]).where("a != b").count() < 60
+
+
+def test_long_wordings_need_no_pattern(spark):
+    # Ten thousand words as one pattern overflow the stack when it is compiled.
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = items(spark, [("d", 1, long.replace("word9 ", "word9 more ")), ("d", 2, "word1 word2")])
+    need = mt.required(results(spark, [("d", 0), ("d", 1)]), checklist(spark, [(long, None), ("word1 a_b", None)]))
+    assert [(r.variant_norm == long, r.page_no) for r in mt.hits(need, rows).collect()] == [(True, 1)]
+    assert [(r.variant_norm == long, r.page_no) for r in mt.page_hits(need, rows, mt.hits(need, rows).limit(0)).collect()] == [(True, 1)]

@@ -26,6 +26,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -333,9 +334,7 @@ class Labeller:
             return out
         sequences.sort(key=lambda s: -len(s[1]))
         lengths = np.array([len(s[1]) for s in sequences])
-        ids = np.concatenate([np.array(s[1], np.int32) for s in sequences])
-        kinds = np.concatenate([np.array(s[2], np.int8) for s in sequences])
-        sents = np.concatenate([np.array(s[3], np.int64) for s in sequences])
+        ids, kinds, sents = (np.fromiter(chain.from_iterable(s[k] for s in sequences), kind, lengths.sum()) for k, kind in ((1, np.int32), (2, np.int8), (3, np.int64)))
         post, *_ = _forward_backward(self.scores[ids], kinds, lengths, self.trans)
         count = np.bincount(sents, minlength=n_sentences)
         logs = np.log(np.maximum(post, 1e-12))
@@ -356,17 +355,16 @@ class Labeller:
                         elif of_text[s] in follow:
                             best[s] = follow[of_text[s]]
                             sure[s] = True
-        for s in range(n_sentences):
-            n = int(count[s])
+        shares = mean[np.arange(n_sentences), best]
+        for which, n, k, share in zip(of_text, count.tolist(), best.tolist(), shares.tolist()):
             if not n:
                 continue
-            parts = out[of_text[s]]
-            p = mean[s, best[s]] * n
-            if parts and parts[-1][0] == best[s]:
+            parts = out[which]
+            if parts and parts[-1][0] == k:
                 _, c, m = parts[-1]
-                parts[-1] = (best[s], c + p, m + n)
+                parts[-1] = (k, c + share * n, m + n)
             else:
-                parts.append((best[s], p, n))
+                parts.append((k, share * n, n))
         return [[(LANGS[k], float(c / n), n) for k, c, n in parts] for parts in out]
 
 
@@ -379,10 +377,11 @@ def label_segments(texts: DataFrame, key: list[str], text: str, model) -> DataFr
         import numpy as np
 
         labeller = Labeller(weights, trans)
+        hidden, gone = re.compile(f"[{_INVISIBLE}]").search, dict.fromkeys(map(ord, _INVISIBLE))
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                column = batch.column(len(key)).to_pylist()
+                column = [t if t.isascii() or not hidden(t) else t.translate(gone) for t in batch.column(len(key)).to_pylist()]
                 distinct = list(dict.fromkeys(column))
                 found = dict(zip(distinct, labeller.segments(distinct)))
                 parts = [found[t] for t in column]
@@ -395,7 +394,8 @@ def label_segments(texts: DataFrame, key: list[str], text: str, model) -> DataFr
                     names=[*key, "segment_no", "n_segments", "lang", "confidence", "n_words"],
                 )
 
-    rows = texts.select(*key, visible(F.col(text).cast("string")).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    # Invisible characters are no letters; they are taken out beside the labelling, as a pattern over every text is dear in the JVM.
+    rows = texts.select(*key, F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"\p{L}"))
     return rows.mapInArrow(run, f"{fields}, segment_no int, n_segments int, lang string, confidence double, n_words bigint")
 
 

@@ -133,3 +133,16 @@ def test_bitmap_keeps_its_selectivity(spark):
     asks = spark.createDataFrame([(key[i : i + 32].view(np.int64).tolist(),) for i in range(0, 1_000_000, 32)], "buckets array<bigint>")
     bits, n_hashes = tr._bitmap(asks)
     assert tr._kept(bits, n_hashes, key[:1_000_000]).all() and tr._kept(bits, n_hashes, key[1_000_000:]).mean() < 0.05
+
+
+def test_long_lines_are_told_by_their_first_words():
+    import tracemalloc
+
+    line = "word 1 " * 200_000
+    tracemalloc.start()
+    assert not tr.is_mark_line(line)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000  # no list of all words
+    marks = {"12/30": True, "REF AB-12 v3": True, "---": True, "...": False, "_": False, "- item": False, "Total 12 pieces": False, "a1 b c d e f": False, "": True}
+    assert {x: tr.is_mark_line(x) for x in marks} == marks
